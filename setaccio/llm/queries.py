@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import neardup
+from . import bpe, neardup, packing
 
 QUERIES = {
     "p5_found": neardup.p5_found,
     "p5_groups": neardup.p5_groups,
+    "p6_ids": bpe.p6_ids,
+    "p7_bins": packing.p7_bins,
+    "p7_fill": packing.p7_fill,
 }
 
 SQL: dict[str, str] = {}
