@@ -20,6 +20,8 @@ from .wordhash import blocks, fold, mix, shingle_hashes, word_hashes
 #: A band is one 64-bit key of four 16-bit minima. Two texts of similarity s share a band with probability
 #: 1 - (1 - s^4)^40: 0.996 at 0.6, 0.9995 at 0.65, 1 - 3e-7 at 0.75.
 ROWS, BANDS = 4, 40
+#: Bands whose minima are compared when a candidate's signature is verified.
+VERIFIED = 16
 #: Standard deviations by which a signature's agreement may fall short of the threshold before a candidate goes.
 SLACK = 4.6
 _SEED = 20
@@ -70,11 +72,11 @@ def _signatures(words: int):
 
 
 def _agreement(threshold: float):
-    least = threshold - SLACK * (threshold * (1 - threshold) / (ROWS * BANDS)) ** 0.5
+    least = threshold - SLACK * (threshold * (1 - threshold) / (ROWS * VERIFIED)) ** 0.5
 
     def make():
         def f(batch: pa.RecordBatch) -> dict:
-            a, b = (np.asarray(batch.column(c).flatten()).view(np.uint16).reshape(-1, ROWS * BANDS) for c in ("va", "vb"))
+            a, b = (np.asarray(batch.column(c).flatten()).view(np.uint16).reshape(-1, ROWS * VERIFIED) for c in ("va", "vb"))
             return {c: batch.column(c).filter(pa.array((a == b).mean(axis=1) >= least)) for c in ("a", "b")}
 
         return f
@@ -126,7 +128,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, t
     classes = base.groupBy("set_a", "set_b", "n").agg(F.min(F.struct("id", "sig")).alias("m")).select("m.id", "m.sig")
     keys = classes.select("id", F.explode("sig").alias("key"))
     pairs = keys.select(F.col("id").alias("a"), "key").join(keys.select(F.col("id").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
-    likely = arrow_map(_beside(pairs, base.select("id", F.col("sig").alias("v"))), _agreement(threshold), "a long, b long")
+    likely = arrow_map(_beside(pairs, base.select("id", F.slice("sig", 1, VERIFIED).alias("v"))), _agreement(threshold), "a long, b long")
     links = cut(arrow_map(_beside(likely, docs.select("id", F.col("c0").alias("v"))), _exact(words, threshold), "a long, b long, similarity double"))
     sets = base.select("id", "set_a", "set_b", "n")
     lowest = sets.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("class_id"))
