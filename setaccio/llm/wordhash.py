@@ -7,6 +7,7 @@ character is a few nanoseconds and no Python loop runs over words.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -20,6 +21,30 @@ _MIX1, _MIX2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 _tables: dict[str, np.ndarray] = {}
+_patterns: dict[str, re.Pattern] = {}
+
+
+def _marks() -> re.Pattern:
+    """Runs of combining marks."""
+    if "marks" not in _patterns:
+        marks = [i for i in range(0x110000) if unicodedata.combining(chr(i))]
+        runs = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _ranges(marks))
+        _patterns["marks"] = re.compile(f"[{runs}]+")
+    return _patterns["marks"]
+
+
+def _ranges(numbers: list[int]) -> Iterator[tuple[int, int]]:
+    """First and last of each run of consecutive ascending numbers."""
+    first = last = None
+    for n in numbers:
+        if last is not None and n == last + 1:
+            last = n
+            continue
+        if last is not None:
+            yield first, last
+        first = last = n
+    if last is not None:
+        yield first, last
 
 
 def fold(text: str) -> str:
@@ -29,7 +54,7 @@ def fold(text: str) -> str:
     parts = unicodedata.normalize("NFKD", text.casefold())
     if parts.isascii():
         return parts
-    return "".join(c for c in parts if not unicodedata.combining(c))
+    return _marks().sub("", parts)
 
 
 def _word_table() -> np.ndarray:
