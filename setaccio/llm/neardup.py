@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import arrow_map, cut, keyed, table, texts_of
 from .components import connected_components
-from .wordhash import blocks, fold, mix, shingle_hashes, word_hashes
+from .wordhash import blocks, decompose, mix, shingle_hashes, word_hashes
 
 #: A band is one 64-bit key of four 16-bit minima. Two texts of similarity s share a band with probability
 #: 1 - (1 - s^4)^40: 0.996 at 0.6, 0.9995 at 0.65, 1 - 3e-7 at 0.75.
@@ -53,7 +53,7 @@ def _signatures(words: int):
             texts, ids = texts_of(batch, "c0"), batch.column("id").to_pylist()
             out: dict[str, list] = {k: [] for k in ("id", "set_a", "set_b", "n", "sig")}
             for lo, hi in blocks(texts):
-                s, at = shingle_hashes(*word_hashes([fold(t) for t in texts[lo:hi]]), words)
+                s, at = shingle_hashes(*word_hashes([decompose(t) for t in texts[lo:hi]]), words)
                 for k in range(hi - lo):
                     if at[k] == at[k + 1]:
                         continue
@@ -89,7 +89,7 @@ def _exact(words: int, threshold: float):
         def sets(texts: list[str]) -> list[np.ndarray]:
             out = []
             for lo, hi in blocks(texts):
-                s, at = shingle_hashes(*word_hashes([fold(t) for t in texts[lo:hi]]), words)
+                s, at = shingle_hashes(*word_hashes([decompose(t) for t in texts[lo:hi]]), words)
                 out += [np.unique(s[at[k] : at[k + 1]]) for k in range(hi - lo)]
             return out
 

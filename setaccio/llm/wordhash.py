@@ -7,7 +7,6 @@ character is a few nanoseconds and no Python loop runs over words.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -21,40 +20,17 @@ _MIX1, _MIX2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 _tables: dict[str, np.ndarray] = {}
-_patterns: dict[str, re.Pattern] = {}
 
 
-def _marks() -> re.Pattern:
-    """Runs of combining marks."""
-    if "marks" not in _patterns:
-        marks = [i for i in range(0x110000) if unicodedata.combining(chr(i))]
-        runs = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _ranges(marks))
-        _patterns["marks"] = re.compile(f"[{runs}]+")
-    return _patterns["marks"]
-
-
-def _ranges(numbers: list[int]) -> Iterator[tuple[int, int]]:
-    """First and last of each run of consecutive ascending numbers."""
-    first = last = None
-    for n in numbers:
-        if last is not None and n == last + 1:
-            last = n
-            continue
-        if last is not None:
-            yield first, last
-        first = last = n
-    if last is not None:
-        yield first, last
+def decompose(text: str) -> str:
+    """Case folded and decomposed; the marks are left in, for word_hashes to drop."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFKD", text.casefold())
 
 
 def fold(text: str) -> str:
     """Lower case without accents: case folding, compatibility decomposition, no combining marks."""
-    if text.isascii():
-        return text.lower()
-    parts = unicodedata.normalize("NFKD", text.casefold())
-    if parts.isascii():
-        return parts
-    return _marks().sub("", parts)
+    parts = decompose(text)
+    return parts if parts.isascii() else "".join(c for c in parts if not unicodedata.combining(c))
 
 
 def _word_table() -> np.ndarray:
@@ -64,6 +40,13 @@ def _word_table() -> np.ndarray:
     return _tables["word"]
 
 
+def _mark_table() -> np.ndarray:
+    """Whether each code point is a combining mark."""
+    if "mark" not in _tables:
+        _tables["mark"] = np.fromiter((unicodedata.combining(chr(i)) > 0 for i in range(0x110000)), dtype=bool, count=0x110000)
+    return _tables["mark"]
+
+
 def _powers(n: int) -> np.ndarray:
     have = _tables.get("pow")
     if have is None or len(have) < n:
@@ -81,14 +64,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def word_hashes(folded: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, in order; offsets: text k has the words offsets[k]:offsets[k + 1])."""
-    joined = "\0".join(folded)
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, in order; offsets: text k has the words offsets[k]:offsets[k + 1]).
+
+    The texts are folded or decomposed; combining marks are dropped here.
+    """
+    joined = "\0".join(texts)
     cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    lengths = np.fromiter((len(t) + 1 for t in folded), dtype=np.int64, count=len(folded))
+    lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     ends = np.cumsum(lengths)
     if not len(cp):
-        return np.zeros(0, np.uint64), np.zeros(len(folded) + 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    marks = _mark_table()[cp]
+    if marks.any():
+        kept = np.concatenate(([0], np.cumsum(~marks), [0]))
+        kept[-1] = kept[-2] + 1
+        cp, ends = cp[~marks], kept[ends]
+        if not len(cp):
+            return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     inside = _word_table()[cp]
     before = np.empty_like(inside)
     before[0] = False
