@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, neardup, packing
+from . import bpe, leakage, neardup, packing
 
 QUERIES = {
+    "p4_found": leakage.p4_found,
+    "p4_overlaps": leakage.p4_overlaps,
+    "p4_items": leakage.p4_items,
     "p5_found": neardup.p5_found,
     "p5_groups": neardup.p5_groups,
     "p6_ids": bpe.p6_ids,
