@@ -40,6 +40,13 @@ def _word_table() -> np.ndarray:
     return _tables["word"]
 
 
+def _digit_table() -> np.ndarray:
+    """Whether each code point is a digit."""
+    if "digit" not in _tables:
+        _tables["digit"] = np.fromiter((chr(i).isdigit() for i in range(0x110000)), dtype=bool, count=0x110000)
+    return _tables["digit"]
+
+
 def _mark_table() -> np.ndarray:
     """Whether each code point is a combining mark."""
     if "mark" not in _tables:
@@ -64,24 +71,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _no_words(offsets: np.ndarray, details: bool) -> tuple[np.ndarray, ...]:
+    return (np.zeros(0, np.uint64), offsets, *((np.zeros(0, np.int64), np.zeros(0, bool)) if details else ()))
+
+
+def word_hashes(texts: list[str], details: bool = False) -> tuple[np.ndarray, ...]:
     """(hash of each word, in order; offsets: text k has the words offsets[k]:offsets[k + 1]).
 
-    The texts are folded or decomposed; combining marks are dropped here.
+    The texts are folded or decomposed; combining marks are dropped here. With details, also the letters and digits of each word,
+    and whether a word has both.
     """
     joined = "\0".join(texts)
     cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     ends = np.cumsum(lengths)
     if not len(cp):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        return _no_words(np.zeros(len(texts) + 1, np.int64), details)
     marks = _mark_table()[cp]
     if marks.any():
         kept = np.concatenate(([0], np.cumsum(~marks), [0]))
         kept[-1] = kept[-2] + 1
         cp, ends = cp[~marks], kept[ends]
         if not len(cp):
-            return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+            return _no_words(np.zeros(len(texts) + 1, np.int64), details)
     inside = _word_table()[cp]
     before = np.empty_like(inside)
     before[0] = False
@@ -89,13 +101,17 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(inside & ~before)
     offsets = np.concatenate(([0], np.searchsorted(starts, ends - 1)))
     if not len(starts):
-        return np.zeros(0, np.uint64), offsets
+        return _no_words(offsets, details)
     where = np.flatnonzero(inside)
     first = np.flatnonzero(~before[where])
     sizes = np.diff(np.append(first, len(where)))
     at = np.arange(len(where)) - np.repeat(first, sizes)
     value = cp[where].astype(np.uint64) * _powers(int(sizes.max()))[at]
-    return mix(np.add.reduceat(value, first) + sizes.astype(np.uint64)), offsets
+    hashes = mix(np.add.reduceat(value, first) + sizes.astype(np.uint64))
+    if not details:
+        return hashes, offsets
+    digits = np.add.reduceat(_digit_table()[cp[where]].astype(np.int64), first)
+    return hashes, offsets, sizes, (digits > 0) & (digits < sizes)
 
 
 def shingle_hashes(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
