@@ -18,6 +18,8 @@ from .wordhash import blocks, decompose, fold, shingle_hashes, word_hashes
 
 #: Rows that samples and word lists may have together; they are read on the driver.
 MOST_SAMPLES = 20_000
+#: Items with which a text is a list although most of it is its one sentence of introduction.
+FEW = 5
 #: Lengths of the n-grams whose commonest is measured.
 NGRAMS = (2, 3, 4)
 
@@ -26,8 +28,8 @@ _STOPS = ".!?…"
 #: What begins a line of dialogue; with a full stop it begins no item.
 _DASHES = "–—«"
 _ITEM = re.compile(r"\s*(?:[-*+•◦▪‣·»–—]|\(?\d{1,3}[.)°]|\(?[a-zA-Z][.)]|\(?[ivxIVX]{1,5}[.)]|\[[ xX]?\])\s+\S")
+_BLANK_LINE = re.compile(r"\n\s*\n")
 _GAP = re.compile(r"(?<=\S) {2,}(?=\S)")
-_DATA = re.compile(r"\d")
 _SENTENCE = re.compile(r"[^\W\d_]{2,}[»”\")]*[.!?…]+(?=\s|$)")
 #: Separators of a table's fields; a list's items are separated by the same or by INLINE ones.
 FIELDS = ("|", "\t", ";", '","', " - ", ",", " / ")
@@ -119,7 +121,10 @@ def _table_share(raw: list[str], sizes: np.ndarray) -> float:
     if len(raw) < 3:
         return 0.0
     best = 0.0
+    text = "\n".join(raw)
     for sep in FIELDS:
+        if text.count(sep) < 3:
+            continue
         counts = [(line if line.count(sep) > 1 else line.rstrip(" ;")).count(sep) for line in raw]
         most, n = max(((c, k) for c, k in Counter(counts).items() if c), key=lambda x: (x[1], x[0]), default=(0, 0))
         if n < 3 or most < (3 if sep in (",", " / ") else 2 if sep in (" - ", '","') else 1) or most == 1 and n < 4:
@@ -130,6 +135,8 @@ def _table_share(raw: list[str], sizes: np.ndarray) -> float:
         if most == 1 and sep == ";" and sum(bool(_SENTENCE.search(line)) for line in raw) * 2 > n:
             continue
         best = max(best, float(sizes[rows].sum() / sizes.sum()))
+    if text.count("  ") < 3:
+        return best
     gaps = [len(_GAP.findall(line)) for line in raw]
     rows = np.array([g >= 1 for g in gaps])
     if rows.sum() >= 3 and sum(gaps) >= 1.5 * rows.sum() and sum(len(_GAP.split(line)) * 4 >= len(line.split()) for line in raw) * 2 > len(raw):
@@ -138,7 +145,7 @@ def _table_share(raw: list[str], sizes: np.ndarray) -> float:
 
 
 def _list_share(lines: list[str], sizes: np.ndarray, words: np.ndarray, common: np.ndarray) -> tuple[float, int, int]:
-    """(share of the characters that stand in items; items; sentences outside them)."""
+    """(share of the characters that stand in items; items; sentences outside them, counted where it matters)."""
     items = np.zeros(len(lines), dtype=bool)
     n_items = 0
     for i, line in enumerate(lines):
@@ -162,10 +169,13 @@ def _list_share(lines: list[str], sizes: np.ndarray, words: np.ndarray, common:
         if short.mean() >= 0.85 and words[rest].mean() <= 4.6 and common[rest].sum() <= 0.22 * words[rest].sum():
             items[rest] = True
             n_items += len(rest)
-    sentences = sum(max(1, len(_SENTENCE.findall(lines[i]))) for i in np.flatnonzero(~items).tolist() if lines[i][-1] != ":" and words[i] > 4)
     counted = np.array([items[i] or lines[i][-1] != ":" or words[i] > 8 for i in range(len(lines))])
     total = sizes[counted].sum()
-    return (float(sizes[items].sum() / total) if total else 0.0), n_items, sentences
+    share = float(sizes[items].sum() / total) if total else 0.0
+    if n_items < FEW or share >= 0.5:
+        return share, n_items, 0
+    outside = [i for i in np.flatnonzero(~items).tolist() if lines[i][-1] != ":" and words[i] > 4]
+    return share, n_items, sum(max(1, len(_SENTENCE.findall(lines[i]))) for i in outside)
 
 
 def _kind(s: dict, n_items: int, sentences: int) -> str:
@@ -182,7 +192,7 @@ def _kind(s: dict, n_items: int, sentences: int) -> str:
         return "junk"
     if s["n_words"] >= 10 and s["mean_word_length"] < 1.8:
         return "junk"
-    if n_items >= 4 and (s["list_share"] >= 0.5 or n_items >= 5 and sentences <= 1):
+    if n_items >= 4 and (s["list_share"] >= 0.5 or n_items >= FEW and sentences <= 1):
         return "list"
     return "prose"
 
@@ -193,26 +203,27 @@ def describe(texts: list[str], language: Language) -> list[dict]:
     lines = [[x.strip() for x in raw] for raw in raws]
     flat = [decompose(x) for own in lines for x in own]
     line_at = np.cumsum([0, *map(len, lines)])
-    words, word_at, sizes, mixed = word_hashes(flat, details=True) if flat else (np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+    words, word_at, sizes, digits = word_hashes(flat, details=True) if flat else (np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    mixed = (digits > 0) & (digits < sizes)
     common = _sums(language.is_common(words), word_at)
     codes, code_at, inner = _trigrams(flat)
     known, letters = _sums(language.known[codes] & inner, code_at), _sums(inner, code_at)
     doc_at = word_at[line_at]
     top = {n: _top_coverage(words, sizes, doc_at, n) for n in NGRAMS}
     by_doc = {k: np.diff(np.concatenate(([0], np.cumsum(v)))[line_at]) for k, v in (("common", common), ("known", known), ("letters", letters))}
-    n_words, n_mixed, n_letters = np.diff(doc_at), _sums(mixed, doc_at), _sums(sizes, doc_at)
+    n_words, n_mixed, n_alnum, n_digits = np.diff(doc_at), _sums(mixed, doc_at), _sums(sizes, doc_at), _sums(digits, doc_at)
     out = []
     for k, (text, raw, own) in enumerate(zip(texts, raws, lines)):
         a, b = line_at[k], line_at[k + 1]
         width = np.array([len(x) for x in own], dtype=np.int64)
         solid = sum(map(len, text.split()))
         n = int(n_words[k])
-        paragraphs = [p for p in (x.strip() for x in re.split(r"\n\s*\n", text)) if p]
+        paragraphs = [p for p in (x.strip() for x in _BLANK_LINE.split(text)) if p] if "\n" in text else []
         s = {
             "n_chars": solid, "n_words": n, "n_lines": len(own),
-            "mean_word_length": float(n_letters[k] / n) if n else 0.0,
-            "symbol_ratio": 1 - sum(map(str.isalnum, text)) / solid if solid else 0.0,
-            "digit_ratio": sum(map(str.isdigit, text)) / solid if solid else 0.0,
+            "mean_word_length": float(n_alnum[k] / n) if n else 0.0,
+            "symbol_ratio": max(0.0, 1 - int(n_alnum[k]) / solid) if solid else 0.0,
+            "digit_ratio": min(1.0, int(n_digits[k]) / solid) if solid else 0.0,
             "punctuated_lines": sum(x[-1] in _ENDS for x in own) / len(own) if own else 0.0,
             "common_words": float(by_doc["common"][k] / n) if n else 0.0,
             "known_trigrams": float(by_doc["known"][k] / by_doc["letters"][k]) if by_doc["letters"][k] else 0.0,

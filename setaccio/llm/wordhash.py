@@ -72,14 +72,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _no_words(offsets: np.ndarray, details: bool) -> tuple[np.ndarray, ...]:
-    return (np.zeros(0, np.uint64), offsets, *((np.zeros(0, np.int64), np.zeros(0, bool)) if details else ()))
+    return (np.zeros(0, np.uint64), offsets, *((np.zeros(0, np.int64), np.zeros(0, np.int64)) if details else ()))
 
 
 def word_hashes(texts: list[str], details: bool = False) -> tuple[np.ndarray, ...]:
     """(hash of each word, in order; offsets: text k has the words offsets[k]:offsets[k + 1]).
 
-    The texts are folded or decomposed; combining marks are dropped here. With details, also the letters and digits of each word,
-    and whether a word has both.
+    The texts are folded or decomposed; combining marks are dropped here. With details, also how many letters and digits together,
+    and how many digits, each word has.
     """
     joined = "\0".join(texts)
     cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -111,7 +111,7 @@ def word_hashes(texts: list[str], details: bool = False) -> tuple[np.ndarray, ..
     if not details:
         return hashes, offsets
     digits = np.add.reduceat(_digit_table()[cp[where]].astype(np.int64), first)
-    return hashes, offsets, sizes, (digits > 0) & (digits < sizes)
+    return hashes, offsets, sizes, digits
 
 
 def shingle_hashes(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
