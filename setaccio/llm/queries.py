@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, leakage, neardup, packing, quality
+from . import bpe, langid, leakage, neardup, packing, quality
 
 QUERIES = {
     "p1_found": quality.p1_found,
     "p1_stats": quality.p1_stats,
     "p1_kinds": quality.p1_kinds,
+    "p3_found": langid.p3_found,
+    "p3_records": langid.p3_records,
+    "p3_segments": langid.p3_segments,
     "p4_found": leakage.p4_found,
     "p4_overlaps": leakage.p4_overlaps,
     "p4_items": leakage.p4_items,
