@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, leakage, neardup, packing, quality
+from . import bpe, crosssplit, langid, leakage, neardup, packing, quality
 
 QUERIES = {
     "p1_found": quality.p1_found,
     "p1_stats": quality.p1_stats,
     "p1_kinds": quality.p1_kinds,
+    "p2_found": crosssplit.p2_found,
+    "p2_counts": crosssplit.p2_counts,
     "p3_found": langid.p3_found,
     "p3_records": langid.p3_records,
     "p3_segments": langid.p3_segments,
