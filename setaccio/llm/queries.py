@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, crosssplit, langid, leakage, neardup, packing, quality
+from . import bpe, crosssplit, langid, leakage, neardup, packing, quality, reading
 
 QUERIES = {
     "p1_found": quality.p1_found,
@@ -21,6 +21,9 @@ QUERIES = {
     "p6_ids": bpe.p6_ids,
     "p7_bins": packing.p7_bins,
     "p7_fill": packing.p7_fill,
+    "p8_found": reading.p8_found,
+    "p8_profile": reading.p8_profile,
+    "p8_validation": reading.p8_validation,
 }
 
 SQL: dict[str, str] = {}
