@@ -181,9 +181,9 @@ class Grader:
         return 1 + sum((np.asarray(grade) > t).astype(np.int64) for t in self.thresholds)
 
     def grade(self, texts: list[str]) -> np.ndarray:
-        """The median grade of each text's windows; not a number for a text without words."""
+        """The median grade of each plain text's windows; not a number for a text without words."""
         out = np.full(len(texts), np.nan)
-        x, at = windows([plain(t) for t in texts], self.vocabulary, self.language)
+        x, at = windows(texts, self.vocabulary, self.language)
         if len(x):
             y = self.model.predict(x)
             for k in np.flatnonzero(np.diff(at)):
@@ -196,10 +196,13 @@ class Italian:
 
     def __init__(self, common: list[tuple[str, str]]):
         self.hashes = {lang: _hash_set(tuple(w for k, w in common if k == lang)) for lang in sorted({k for k, _ in common})}
+        self.every = np.unique(np.concatenate(list(self.hashes.values())))
 
     def mainly(self, texts: list[str]) -> np.ndarray:
         words, offsets = word_hashes(texts)
-        counts = {lang: np.diff(np.concatenate(([0], np.cumsum(_among(words, h))))[offsets]) for lang, h in self.hashes.items()}
+        common = np.flatnonzero(_among(words, self.every))  # a third of the words, looked up by language
+        doc = np.searchsorted(offsets, common, side="right") - 1
+        counts = {lang: np.bincount(doc[_among(words[common], h)], minlength=len(texts)) for lang, h in self.hashes.items()}
         most = np.max(list(counts.values()), axis=0)
         return (counts.get("it", np.zeros(len(texts))) == most) & (most >= 0.08 * np.diff(offsets))
 
@@ -231,11 +234,13 @@ def reading_levels(df: DataFrame, id_col: str, text_col: str, grader: Grader, it
             rows, grades = [], []
             for lo, hi in blocks(texts):
                 own = [i for i in range(lo, hi) if counts[i] >= LEAST_WORDS]
-                own = [i for i, ok in zip(own, it.mainly([plain(texts[i]) for i in own])) if ok] if own else []
-                own = [i for i, s in zip(own, describe([texts[i] for i in own], model.language)) if s["kind"] == "prose"]
-                if own:
-                    rows += own
-                    grades.append(model.grade([texts[i] for i in own]))
+                clean = [plain(texts[i]) for i in own]
+                keep = np.flatnonzero(it.mainly(clean)) if own else []
+                kinds = describe([texts[own[k]] for k in keep], model.language, repetition=False)
+                keep = [k for k, s in zip(keep, kinds) if s["kind"] == "prose"]
+                if keep:
+                    rows += [own[k] for k in keep]
+                    grades.append(model.grade([clean[k] for k in keep]))
             grade, at = np.concatenate(grades) if grades else np.zeros(0), pa.array(rows, type=pa.int64())
             return {
                 "id": batch.column("id").take(at), "source": batch.column("source").take(at), "n_words": [counts[i] for i in rows],
