@@ -92,7 +92,8 @@ def shards(df: DataFrame, id_col: str, text_col: str, cap: int, n_shards: int |
         if now == count:
             break
         count = now
-        step = cut(step.alias("x").join(step.withColumnsRenamed({"rank": "next", "next": "after"}), "next").select("x.rank", F.col("after").alias("next")))
+        after = step.select(F.col("rank").alias("next"), F.col("next").alias("after"))
+        step = cut(step.join(after, "next").select("rank", F.col("after").alias("next")))
     marked = rows.join(starts.withColumn("begins", F.lit(1)), "rank", "left").withColumn("begins", F.coalesce("begins", F.lit(0)))
     numbered = prefix_sums(marked.drop("before", "rank"), "id", "begins")
     out = numbered.select("id", "bytes", (F.col("before") + F.col("begins") - 1 + F.lit(empty)).cast("int").alias("shard"))

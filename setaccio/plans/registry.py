@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setaccio.plans import text_queries
+from setaccio.plans import corpus_queries, text_queries
 
-_MODULES = (text_queries,)
+_MODULES = (text_queries, corpus_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -32,9 +33,15 @@ def dry_run(df: DataFrame) -> int:
     return df.count()
 
 
+@F.pandas_udf("string")
+def tenths(s: pd.Series) -> pd.Series:
+    """With one decimal place, rounded by the exact binary value (the JVM's formats round its shortest decimal form)."""
+    return s.map(lambda v: f"{v:.1f}", na_action="ignore")
+
+
 def reject_sample(df: DataFrame, order_col: str, ppl_col: str, text_col: str, n: int = 500, chars: int = 600) -> DataFrame:
     """The first n rows in order, a report of each: its perplexity and the head of its text."""
-    report = F.concat(F.format_string("=== PPL %.1f ===\n", F.col(ppl_col)), F.substring(text_col, 1, chars))
+    report = F.concat(F.lit("=== PPL "), tenths(ppl_col), F.lit(" ===\n"), F.substring(text_col, 1, chars))
     return df.orderBy(order_col).limit(n).select(order_col, report.alias("report"))
 
 
