@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Elements whose text isn't part of a page's.
 SKIPPED = frozenset(("script", "style", "nav", "header", "footer", "aside"))
@@ -17,7 +18,7 @@ SKIPPED_IN_BOOKS = SKIPPED | frozenset(("sup", "sub", "figure", "figcaption"))
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode composed form; null stays null."""
     return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
@@ -51,7 +52,7 @@ def html_text(page: str | bytes | None, skipped: frozenset[str] = SKIPPED, separ
     return separator.join(parser.pieces)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_text(s: pd.Series) -> pd.Series:
     return s.map(html_text, na_action="ignore")
 
@@ -80,6 +81,6 @@ def find_json(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_json(s: pd.Series) -> pd.Series:
     return s.map(find_json, na_action="ignore")

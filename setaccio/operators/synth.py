@@ -80,7 +80,7 @@ def requests(spark: SparkSession, wanted: dict[str, int], version: int = 2, seed
     Slots of a completion are those its prompt names, and the intent.
     """
     intents = [F.struct(F.lit(i).alias("intent"), F.lit(n).alias("wanted"), F.array(*map(F.lit, TEMPLATES[i])).alias("templates")) for i, n in wanted.items()]
-    rows = spark.range(1).select(F.inline(F.array(*intents))).withColumn("seq", F.explode(F.sequence(F.lit(0), F.col("wanted") * ATTEMPTS - 1)).cast("long"))
+    rows = spark.range(1).select(F.inline(F.array(*intents))).withColumn("seq", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("wanted") * ATTEMPTS - 1).cast("long"))))
     key = F.xxhash64("intent", "seq")
     values = {name: pick(pool, key, seed, name) for name, pool in POOLS.items()}
     values |= {"phone": phone(key, seed), "mail": mail(values["contact"], key, seed)}

@@ -454,9 +454,9 @@ def union_sources(spark, sf):
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@query("SELECT source, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes, round(avg(n_chars), 6) AS mean_chars FROM documents GROUP BY source")
+@query("SELECT source, count(*) AS n, CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS bytes, round(avg(n_chars), 6) AS mean_chars FROM documents GROUP BY source")
 def source_totals(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.round(F.avg("n_chars"), 6).alias("mean_chars"))
+    return table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.round(F.avg("n_chars"), 6).alias("mean_chars"))
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE n_chars IS NOT NULL ORDER BY n_chars DESC, doc_id LIMIT 25")

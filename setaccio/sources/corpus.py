@@ -37,7 +37,7 @@ def json_lines(spark: SparkSession, path: str, schema: str = "prompt string, com
 
 def vocabulary_file(spark: SparkSession, path: str) -> DataFrame:
     """id, piece, score of a tab-separated vocabulary in the order of its lines (one file)."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("id", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n+\z", ""), "\n")).alias("id", "line"))
     return lines.select("id", F.split_part("line", F.lit("\t"), F.lit(1)).alias("piece"), F.split_part("line", F.lit("\t"), F.lit(2)).cast("double").alias("score"))
 
 

@@ -6,6 +6,7 @@ import hashlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 
 def write_corpus(df: DataFrame, path: str, text_col: str = "text", mode: str = "overwrite") -> None:
@@ -33,7 +34,7 @@ def dry_run(df: DataFrame) -> int:
     return df.count()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def tenths(s: pd.Series) -> pd.Series:
     """With one decimal place, rounded by the exact binary value (the JVM's formats round its shortest decimal form)."""
     return s.map(lambda v: f"{v:.1f}", na_action="ignore")
