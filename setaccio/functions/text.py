@@ -11,6 +11,8 @@ from pyspark.sql import Column, functions as F
 #: The blanks, as the inside of a character class.
 BLANKS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 BLANK = f"[{BLANKS}]"
+#: The same blanks as a string.
+BLANK_CHARS = "".join(map(chr, (*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: What isn't printed, as the inside of a character class.
 UNPRINTED = r"\p{Cc}\p{Cf}\p{Co}\p{Zl}\p{Zp}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}"
 #: Characters that cleaning replaces or drops.
@@ -21,17 +23,22 @@ HEADING = r"(?m)^={1,6}.{0,120}={1,6}\s*$"
 
 def strip(c: Column) -> Column:
     """Without blanks at both ends; null stays null."""
-    return F.regexp_replace(c, rf"\A{BLANK}+|{BLANK}+\z", "")
+    return F.btrim(c, F.lit(BLANK_CHARS))
+
+
+def _parts(stripped: Column, pattern: str) -> Column:
+    """A stripped text cut at a pattern that takes all blanks with it; no part of an empty one."""
+    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, pattern))
 
 
 def words(c: Column) -> Column:
     """The runs of characters between blanks, in order; none of an empty text."""
-    return F.filter(F.split(c, f"{BLANK}+"), lambda w: w != "")
+    return _parts(strip(c), f"{BLANK}+")
 
 
 def lines(c: Column) -> Column:
     """The lines that aren't blank, stripped."""
-    return F.filter(F.transform(F.split(c, "\n"), strip), lambda x: x != "")
+    return _parts(strip(c), f"{BLANK}*\n{BLANK}*")
 
 
 def paragraphs(c: Column, separator: str) -> Column:
@@ -39,10 +46,6 @@ def paragraphs(c: Column, separator: str) -> Column:
     return F.filter(F.transform(F.split(c, rf"\Q{separator}\E"), strip), lambda x: x != "")
 
 
-def count_matches(c: Column, pattern: str) -> Column:
-    return F.regexp_count(c, F.lit(pattern))
-
-
 def _newlines(c: Column) -> Column:
     return F.regexp_replace(c, "\r\n?", "\n")
 

@@ -10,7 +10,7 @@ from setaccio.functions import text as T
 MIN_WORDS, MOST_SYMBOLS, LEAST_DISTINCT_LINES, LEAST_LETTERS, MOST_MIXED = 50, 0.35, 0.5, 0.30, 0.05
 #: Lines up to which repeated ones don't matter.
 FEW_LINES = 5
-_LETTERS, _KNOWN = r"\p{L}", rf"[\p{{L}}\p{{Nd}}{T.BLANKS}]"
+_NO_LETTERS, _KNOWN = r"[^\p{L}]+", rf"[\p{{L}}\p{{Nd}}{T.BLANKS}]+"
 _MIXED = r"[a-zA-Z]\d|\d[a-zA-Z]"
 
 
@@ -19,10 +19,10 @@ def features(c: Column) -> dict[str, Column]:
     words, lines, n = T.words(c), T.lines(c), F.length(c)
     return {
         "n_words": F.size(words), "n_chars": n,
-        "symbol_ratio": F.try_divide(n - T.count_matches(c, _KNOWN), n),
+        "symbol_ratio": F.try_divide(F.length(F.regexp_replace(c, _KNOWN, "")), n),
         "n_lines": F.size(lines), "distinct_lines": F.size(F.array_distinct(lines)),
-        "alpha_ratio": F.try_divide(T.count_matches(c, _LETTERS), n),
-        "mixed_ratio": F.try_divide(F.size(F.filter(words, lambda w: w.rlike(_MIXED))), F.size(words)),
+        "alpha_ratio": F.try_divide(F.length(F.regexp_replace(c, _NO_LETTERS, "")), n),
+        "mixed_ratio": F.try_divide(F.when(c.rlike(_MIXED), F.size(F.filter(words, lambda w: w.rlike(_MIXED)))).otherwise(0), F.size(words)),
     }
 
 

@@ -194,7 +194,7 @@ q AS (SELECT ppl AS cut FROM (SELECT ppl, row_number() OVER (ORDER BY ppl) - 1 A
 @query(f"WITH {_RULED}, {_LIMIT} SELECT rec_id, ppl FROM culturax_it_ppl95 WHERE ppl <= (SELECT cut FROM q)")
 def ppl_filter(spark, sf):
     rows = table(spark, sf, "culturax_it_ppl95")
-    limit = curation.perplexity_limit(rows.where("text is not null"), "rec_id", "text", "ppl", 0.95)
+    limit = curation.perplexity_limit(filters.heuristic(rows.where("text is not null"), "text"), "rec_id", "ppl", 0.95)
     return filters.perplexity_cut(rows, "ppl", limit).select("rec_id", "ppl")
 
 

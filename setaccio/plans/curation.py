@@ -8,10 +8,13 @@ from setaccio.operators import dedup, filters, scoring
 from setaccio.plans.tables import cut
 
 
-def perplexity_limit(df: DataFrame, id_col: str, text_col: str, ppl_col: str, share: float, sample: int = 5000, min_words: int = filters.MIN_WORDS) -> float | None:
-    """The perplexity at a share of the first `sample` documents, in order, that keep the rules and have a finite one; null without any."""
+def perplexity_limit(passing: DataFrame, id_col: str, ppl_col: str, share: float, sample: int = 5000) -> float | None:
+    """The perplexity at a share of the first `sample` documents, in order, that have a finite one; null without any.
+
+    The documents given are those that keep the rules, whatever their language.
+    """
     finite = F.col(ppl_col).isNotNull() & ~F.isnan(ppl_col) & (F.col(ppl_col) < float("inf"))
-    head = scoring.first_sample(filters.heuristic(df.where(finite), text_col, min_words).select(id_col, ppl_col), id_col, sample)
+    head = scoring.first_sample(passing.where(finite).select(id_col, ppl_col), id_col, sample)
     row = scoring.index_percentiles(head, ppl_col, [share]).first()
     return None if row is None else row["value"]
 
@@ -23,7 +26,6 @@ def curate(df: DataFrame, id_col: str, text_col: str, lang: tuple[str, str] | No
     Paragraphs of documents that the perplexity drops later still count as met. Null texts don't go in.
     """
     texts = df.where(F.col(text_col).isNotNull())
-    limit = perplexity_limit(texts, id_col, text_col, ppl[0], ppl[1], min_words=min_words) if ppl else None
     marked = filters.with_features(texts, text_col).withColumn("reason", filters.reject_reason(min_words)).drop("f")
     if lang:
         wrong = F.coalesce(F.col(lang[0]) != lang[1], F.lit(True))
@@ -32,6 +34,7 @@ def curate(df: DataFrame, id_col: str, text_col: str, lang: tuple[str, str] | No
         marked = marked.withColumn("reason", F.when(F.col("reason").isNotNull(), "heuristic"))
     keep = [id_col, text_col, "reason", *([ppl[0]] if ppl else [])]
     marked = cut(marked.select(*keep))
+    limit = perplexity_limit(marked.where("reason is null or reason != 'heuristic'"), id_col, *ppl) if ppl else None
     clean = marked.where("reason is null")
     unique = cut(dedup.paragraph_dedup(clean, id_col, text_col, separator))
     out = unique

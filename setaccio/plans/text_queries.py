@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from setaccio.functions import text as T, udf
 from setaccio.operators import dedup, filters
 from setaccio.plans.sql import BLANKS, LINES, PARAS, STRIP, WORDS
-from setaccio.plans.tables import table
+from setaccio.plans.tables import cut, table
 
 QUERIES, SQL = {}, {}
 
@@ -240,7 +240,8 @@ def dup_paragraph_report(spark, sf):
 
 @query(f"WITH {FEATURES}, h AS (SELECT doc_id, text FROM f WHERE {HEURISTIC}), {_dedup_sql('h', 'doc_id', LINE)} SELECT doc_id, text FROM u")
 def curate_heuristic_dedup(spark, sf):
-    return dedup.paragraph_dedup(filters.heuristic(_docs(spark, sf), "text"), "doc_id", "text", "\n")
+    kept = cut(filters.heuristic(_docs(spark, sf), "text").select("doc_id", "text"))  # both branches of the dedup read it
+    return dedup.paragraph_dedup(kept, "doc_id", "text", "\n")
 
 
 @query("""WITH i AS (SELECT pair_id, prompt, coalesce(CASE WHEN json_valid(completion) THEN json_extract_string(completion, '$.intent') END, '-') AS intent FROM sft_calendar_v2),
