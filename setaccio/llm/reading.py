@@ -94,9 +94,9 @@ def _stops_after(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.isin(after, [ord(c) for c in ",;:"]), np.isin(after, [ord(c) for c in ".!?"])
 
 
-def windows(texts: list[str], vocabulary: Vocabulary, language: Language) -> tuple[np.ndarray, np.ndarray]:
-    """(features of each window, offsets by text) of texts in lower case; a text without words has no window."""
-    words, offsets, sizes, _ = word_hashes(texts, details=True)
+def windows(texts: list[str], vocabulary: Vocabulary, language: Language, found: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(features of each window, offsets by text) of plain texts; a text without words has no window. found: their words, if they are known."""
+    words, offsets, sizes, _ = found or word_hashes(texts, details=True)
     n = len(words)
     if not n:
         return np.zeros((0, len(FEATURES))), np.zeros(len(texts) + 1, dtype=np.int64)
@@ -109,10 +109,10 @@ def windows(texts: list[str], vocabulary: Vocabulary, language: Language) -> tup
     grams = np.add.reduceat(np.where(inner, vocabulary.grams[:, codes], 0.0), first, axis=1) / sizes if len(first) == n else np.zeros((3, n))
     comma, stop = _stops_after(texts, n)
     doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    order = np.lexsort((np.arange(n), words, doc))
+    key = words ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(key, kind="stable")
     again = np.zeros(n, dtype=bool)
-    same = (words[order][1:] == words[order][:-1]) & (doc[order][1:] == doc[order][:-1]) & (np.diff(order) <= NEAR)
-    again[order[1:][same]] = True
+    again[order[1:][(key[order[1:]] == key[order[:-1]]) & (np.diff(order) <= NEAR)]] = True
     common = language.is_common(words)
     width = np.minimum(sizes, 30).astype(float)
     columns = (width, sizes >= 9, width**2, *odds, known, grams[0], grams[2], common, _among(words, _sets()["subordinate"]), _among(words, _sets()["simple"]), comma, stop, again & ~common)
@@ -180,10 +180,10 @@ class Grader:
     def level(self, grade) -> np.ndarray:
         return 1 + sum((np.asarray(grade) > t).astype(np.int64) for t in self.thresholds)
 
-    def grade(self, texts: list[str]) -> np.ndarray:
+    def grade(self, texts: list[str], found: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
         """The median grade of each plain text's windows; not a number for a text without words."""
         out = np.full(len(texts), np.nan)
-        x, at = windows(texts, self.vocabulary, self.language)
+        x, at = windows(texts, self.vocabulary, self.language, found)
         if len(x):
             y = self.model.predict(x)
             for k in np.flatnonzero(np.diff(at)):
@@ -198,13 +198,13 @@ class Italian:
         self.hashes = {lang: _hash_set(tuple(w for k, w in common if k == lang)) for lang in sorted({k for k, _ in common})}
         self.every = np.unique(np.concatenate(list(self.hashes.values())))
 
-    def mainly(self, texts: list[str]) -> np.ndarray:
-        words, offsets = word_hashes(texts)
+    def mainly(self, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Of each text by its words' hashes."""
         common = np.flatnonzero(_among(words, self.every))  # a third of the words, looked up by language
         doc = np.searchsorted(offsets, common, side="right") - 1
-        counts = {lang: np.bincount(doc[_among(words[common], h)], minlength=len(texts)) for lang, h in self.hashes.items()}
+        counts = {lang: np.bincount(doc[_among(words[common], h)], minlength=len(offsets) - 1) for lang, h in self.hashes.items()}
         most = np.max(list(counts.values()), axis=0)
-        return (counts.get("it", np.zeros(len(texts))) == most) & (most >= 0.08 * np.diff(offsets))
+        return (counts.get("it", np.zeros(len(offsets) - 1)) == most) & (most >= 0.08 * np.diff(offsets))
 
 
 def _models(spark: SparkSession, sf_dir: str) -> tuple[Grader, Italian]:
@@ -234,13 +234,15 @@ def reading_levels(df: DataFrame, id_col: str, text_col: str, grader: Grader, it
             rows, grades = [], []
             for lo, hi in blocks(texts):
                 own = [i for i in range(lo, hi) if counts[i] >= LEAST_WORDS]
+                if not own:
+                    continue
                 clean = [plain(texts[i]) for i in own]
-                keep = np.flatnonzero(it.mainly(clean)) if own else []
+                found = word_hashes(clean, details=True)
+                keep = np.flatnonzero(it.mainly(*found[:2]))
                 kinds = describe([texts[own[k]] for k in keep], model.language, repetition=False)
                 keep = [k for k, s in zip(keep, kinds) if s["kind"] == "prose"]
-                if keep:
-                    rows += [own[k] for k in keep]
-                    grades.append(model.grade([clean[k] for k in keep]))
+                rows += [own[k] for k in keep]
+                grades.append(model.grade(clean, found)[keep])
             grade, at = np.concatenate(grades) if grades else np.zeros(0), pa.array(rows, type=pa.int64())
             return {
                 "id": batch.column("id").take(at), "source": batch.column("source").take(at), "n_words": [counts[i] for i in rows],
