@@ -124,8 +124,8 @@ def ppl_label(c: Column) -> Column:
 
 
 def log_bar(c: Column, scale: int = 8, longest: int = 40) -> Column:
-    """Length of a bar on a logarithmic scale."""
-    return F.least(F.floor(F.log10(F.greatest(c, F.lit(1.0))) * scale), F.lit(longest)).cast("int")
+    """Length of a bar on a logarithmic scale; null of null."""
+    return F.when(c.isNotNull(), F.least(F.floor(F.log10(F.greatest(c, F.lit(1.0))) * scale), F.lit(longest)).cast("int"))
 
 
 def stream_content(c: Column) -> Column:

@@ -67,6 +67,17 @@ def cross_entropy(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.join(targets.select("id", "token"), ["id", "token"]).join(log_sum, "id").select("id", (F.col("log_sum") - F.col("logit")).alias("loss"))
 
 
+def merge_low_rank(weights: DataFrame, a: DataFrame, b: DataFrame, alpha: float, rank: int) -> DataFrame:
+    """row, col, value of W + (alpha / rank) B A, all three matrices in long form (row, col, value); missing entries are zero.
+
+    The product is an equi-join on the inner index and a sum, which is aggregated before the shuffle.
+    """
+    inner = b.select("row", F.col("col").alias("k"), F.col("value").alias("x")).join(a.select(F.col("row").alias("k"), "col", F.col("value").alias("y")), "k")
+    product = inner.groupBy("row", "col").agg((F.sum(F.col("x") * F.col("y")) * (alpha / rank)).alias("added"))
+    both = weights.join(product, ["row", "col"], "full")
+    return both.select("row", "col", (F.coalesce("value", F.lit(0.0)) + F.coalesce("added", F.lit(0.0))).alias("value"))
+
+
 def learning_rate(step: Column, rate: float, least: float, warm_up: int, steps: int) -> Column:
     """Rising in a line over the warm-up, then falling as a cosine to the least rate, which stays after the last step."""
     done = (step - warm_up) / max(1, steps - warm_up)

@@ -47,6 +47,38 @@ def bigram_perplexity(df: DataFrame, id_col: str, text_col: str, k: float = 1.0)
     return _perplexity(docs, scored, id_col, 1)
 
 
+def function_perplexity(df: DataFrame, id_col: str, text_col: str, make) -> DataFrame:
+    """id_col, n_words, ppl by any scorer: make() is called once a task and gives a function from the head of a text to its perplexity."""
+    import pandas as pd
+
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        score = make()
+        for b in batches:
+            n = b["t"].map(lambda t: len(t.split()))
+            ppl = [score(t) if k >= LEAST_WORDS else float("inf") for t, k in zip(b["t"], n)]
+            yield pd.DataFrame({id_col: b["k"], "n_words": n, "ppl": pd.Series(ppl, dtype=float)})
+
+    head = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("k"), F.substring(text_col, 1, HEAD).alias("t"))
+    return head.mapInPandas(run, f"`{id_col}` {kind}, n_words int, ppl double")
+
+
+def perplexity(df: DataFrame, id_col: str, text_col: str, scorer="bigram") -> DataFrame:
+    """By a scorer's name, or by a function that makes one (see function_perplexity)."""
+    if callable(scorer):
+        return function_perplexity(df, id_col, text_col, scorer)
+    return {"unigram": unigram_perplexity, "bigram": bigram_perplexity}[scorer](df, id_col, text_col)
+
+
+def judged(df: DataFrame, id_col: str, text_col: str, scorer="bigram") -> DataFrame:
+    """id_col, n_words, ppl, label, bar for a reader: texts of fewer than two words have none of them, short ones no label."""
+    rows = perplexity(df, id_col, text_col, scorer)
+    known = (F.col("n_words") >= 2) & (F.col("ppl") < float("inf"))
+    ppl = F.when(known, F.col("ppl"))
+    return rows.select(id_col, "n_words", ppl.alias("ppl"), T.ppl_label(ppl).alias("label"), T.log_bar(ppl).alias("bar"))
+
+
 def _perplexity(docs: DataFrame, scored: DataFrame, id_col: str, fewer: int) -> DataFrame:
     n = F.size("words")
     ppl = F.when(n < LEAST_WORDS, F.lit(float("inf"))).otherwise(F.exp(F.col("nll") / (n - fewer)))

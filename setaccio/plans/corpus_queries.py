@@ -363,6 +363,18 @@ def softmax_xent(spark, sf):
     return numeric.cross_entropy(_logits(spark, sf), targets).withColumn("loss", F.round("loss", 6))
 
 
+@query("""WITH w AS (SELECT vec_id AS r, generate_subscripts(embedding, 1) - 1 AS c, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), b AS (SELECT r, c, v FROM w WHERE c < 4), a AS (SELECT r, c, v FROM w WHERE r < 4),
+p AS (SELECT b.r, a.c, sum(b.v * a.v) * 2.0 AS v FROM b JOIN a ON b.c = a.r GROUP BY 1, 2) SELECT w.r AS "row", CAST(w.c AS INTEGER) AS col, round(w.v + coalesce(p.v, 0), 6) AS value FROM w LEFT JOIN p ON p.r = w.r AND p.c = w.c""")
+def low_rank_merge(spark, sf):
+    w = numeric.logits(table(spark, sf, "embeddings"), "vec_id", "embedding").select(F.col("id").alias("row"), F.col("token").alias("col"), F.col("logit").alias("value"))
+    return numeric.merge_low_rank(w, w.where("row < 4"), w.where("col < 4"), 8.0, 4).withColumn("value", F.round("value", 6))
+
+
+@query()
+def ppl_judged(spark, sf):
+    return scoring.judged(table(spark, sf, "wiki_probe"), "probe_id", "text", "bigram").withColumn("ppl", F.round("ppl", 4))
+
+
 @query("""SELECT step, round(CASE WHEN step < 200 THEN 0.0003 * step / 200 WHEN step >= 3000 THEN 0.00003 ELSE 0.00003 + 0.5 * (1 + cos(pi() * (step - 200) / 2800)) * 0.00027 END, 10) AS rate FROM range(0, 4000) t(step)""")
 def lr_schedule(spark, sf):
     return spark.range(4000).select(F.col("id").alias("step"), F.round(numeric.learning_rate(F.col("id"), 3e-4, 3e-5, 200, 3000), 10).alias("rate"))

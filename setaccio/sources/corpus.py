@@ -30,6 +30,13 @@ def explode_articles(df: DataFrame, text_col: str, min_chars: int = 500) -> Data
     return rows.where(F.length("text") >= min_chars)
 
 
+def wiki_dump(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, title, text (wikitext) of each page of an XML dump that isn't a redirect; pages are split across tasks."""
+    schema = "id bigint, title string, ns int, redirect string, revision struct<text:string>"
+    pages = spark.read.schema(schema).option("rowTag", "page").format("xml").load(path)
+    return pages.where("redirect is null and coalesce(ns, 0) = 0").select(F.col("id").alias("page_id"), "title", F.col("revision.text").alias("text"))
+
+
 def json_lines(spark: SparkSession, path: str, schema: str = "prompt string, completion string") -> DataFrame:
     """Rows of a file of JSON lines, with the line in `corrupt` where it can't be read."""
     return spark.read.schema(schema + ", corrupt string").option("columnNameOfCorruptRecord", "corrupt").json(path)
@@ -71,6 +78,8 @@ def open_source(spark: SparkSession, config: dict) -> DataFrame:
         rows = spark.read.option("header", "true").format(kind).load(config["path"])
         if config.get("filter"):
             rows = rows.where(config["filter"])
+        if config.get("lang_field"):
+            rows = rows.where(F.col(config["lang_field"]) == config["lang"])
         return field(rows, config["text_field"], least)
     if kind == "text":
         out = text_blocks(spark, config["path"])

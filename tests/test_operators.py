@@ -259,3 +259,16 @@ def test_curated_stream(spark, tmp_path):
     spark.createDataFrame([(1, long), (2, long), (3, "corta")], "id long, text string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long, text string").parquet(str(tmp_path / "in"))
     assert [r.text for r in streams.run_available(spark, streams.curate(stream, "text")).collect()] == [long]
+
+
+def test_dump(spark, tmp_path):
+    (tmp_path / "d.xml").write_text("<mediawiki><page><title>A</title><ns>0</ns><id>1</id><revision><id>9</id><text>uno</text></revision></page><page><title>B</title><ns>0</ns><id>2</id><redirect title='A'>x</redirect><revision><text>due</text></revision></page></mediawiki>")
+    assert [tuple(r) for r in corpus.wiki_dump(spark, str(tmp_path / "d.xml")).collect()] == [(1, "A", "uno")]
+
+
+def test_any_scorer(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a"), (3, None)], "id long, text string")
+    got = {r.id: r.ppl for r in scoring.perplexity(df, "id", "text", lambda: len).collect()}
+    assert got == {1: 15.0, 2: float("inf")}
+    labels = {r.id: (r.ppl, r.label, r.bar) for r in scoring.judged(df, "id", "text", lambda: len).collect()}
+    assert labels == {1: (15.0, "low", 9), 2: (None, None, None)}
