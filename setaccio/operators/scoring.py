@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from setaccio.functions import text as T
+from setaccio.plans.tables import cut
 
 #: Characters that are scored, and words a text must have.
 HEAD, LEAST_WORDS = 10_000, 8
@@ -25,7 +26,7 @@ def unigram_perplexity(df: DataFrame, id_col: str, text_col: str, k: float = 1.0
     Counts a text's words before they meet the model's, so a common word is a row a text in the join and a model's row is one a word.
     """
     docs = _tokens(df, id_col, text_col)
-    counts = docs.select("id", F.explode("words").alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(docs.select("id", F.explode("words").alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n")))
     model = counts.groupBy("word").agg(F.sum("n").alias("total"))
     sums = model.agg((F.sum("total") + k * (F.count(F.lit(1)) + 1)).alias("all")).scalar()
     nll = -F.log((F.col("total") + k) / F.col("all"))
@@ -37,7 +38,7 @@ def bigram_perplexity(df: DataFrame, id_col: str, text_col: str, k: float = 1.0)
     """id_col, n_words, ppl of every text by an add-k model of each word given the one before it."""
     docs = _tokens(df, id_col, text_col)
     pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.struct(F.element_at("words", i).alias("a"), F.element_at("words", i + 1).alias("b")))
-    counts = docs.where(F.size("words") >= 2).select("id", F.explode(pairs).alias("p")).groupBy("id", "p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(docs.where(F.size("words") >= 2).select("id", F.explode(pairs).alias("p")).groupBy("id", "p.a", "p.b").agg(F.count(F.lit(1)).alias("n")))
     both = counts.groupBy("a", "b").agg(F.sum("n").alias("pair"))
     one = both.groupBy("a").agg(F.sum("pair").alias("first"))
     types = docs.select(F.explode("words").alias("w")).agg(F.count_distinct("w").alias("types")).scalar()
@@ -119,9 +120,9 @@ def trigram_classifier(samples: DataFrame, lang_col: str, text_col: str) -> Data
 def _grams(df: DataFrame, text_col: str) -> DataFrame:
     """df's other columns with gram and n: the letter trigrams of a text's words, ends of words as blanks."""
     clean = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}]+", " "), F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(clean) - 2, F.lit(1))), lambda i: F.substring(clean, i, 3))
+    grams = F.regexp_extract_all(clean, F.lit("(?=(.{3}))"), F.lit(1))
     others = [c for c in df.columns if c != text_col]
-    return df.select(*others, F.explode(grams).alias("gram")).where(F.length("gram") == 3).groupBy(*others, "gram").agg(F.count(F.lit(1)).alias("n"))
+    return df.select(*others, F.explode(grams).alias("gram")).groupBy(*others, "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 def classify_language(df: DataFrame, id_col: str, text_col: str, model: DataFrame, length: int = 500) -> DataFrame:

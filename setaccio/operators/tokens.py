@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 #: Distinct characters a vocabulary may have to be sent along as a map; Unicode has about 150 000 assigned ones.
 MOST_CHARS = 200_000
@@ -21,25 +21,36 @@ def char_vocabulary(df: DataFrame, text_col: str) -> DataFrame:
     return chars.select("char", (F.row_number().over(Window.orderBy("char")) - 1).cast("int").alias("id"))
 
 
-def vocabulary_map(vocabulary: DataFrame) -> Column:
-    """The vocabulary as a map literal from character to id."""
+def vocabulary_map(vocabulary: DataFrame) -> dict[str, int]:
+    """The vocabulary as a dict from character to id, of at most MOST_CHARS entries."""
     rows = vocabulary.limit(MOST_CHARS + 1).collect()
     if len(rows) > MOST_CHARS:
         raise ValueError(f"more than {MOST_CHARS} characters")
-    if not rows:
-        return F.create_map().cast("map<string,int>")
-    return F.map_from_arrays(F.array(*(F.lit(r[0]) for r in rows)), F.array(*(F.lit(r[1]) for r in rows)))
+    return {r[0]: r[1] for r in rows}
 
 
-def encode_chars(c: Column, vocabulary: Column) -> Column:
-    """Ids of a text's characters; unknown ones are dropped, null and empty texts give an empty list."""
-    chars = F.filter(F.split(F.coalesce(c, F.lit("")), ""), lambda x: x != "")
-    return F.filter(F.transform(chars, lambda x: F.try_element_at(vocabulary, x)), lambda i: i.isNotNull())
+def encode_chars(c: Column, vocabulary: dict[str, int]) -> Column:
+    """Ids of a text's characters; unknown ones are dropped, null and empty texts give an empty list.
 
+    An Arrow UDF: a look-up in a Spark map walks through its keys, so built-ins would cost the vocabulary's size a character.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def encode(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [vocabulary[x] for x in t if x in vocabulary] if t else [])
+
+    return encode(c)
+
+
+def decode_chars(ids: Column, vocabulary: dict[str, int]) -> Column:
+    """Text of ids; unknown ids give a question mark, null stays null."""
+    characters = {i: c for c, i in vocabulary.items()}
+
+    @F.pandas_udf(T.StringType())
+    def decode(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else "".join([characters.get(i, "?") for i in x]))
 
-def decode_chars(ids: Column, characters: Column) -> Column:
-    """Text of ids by a map from id to character; unknown ids give a question mark."""
-    return F.array_join(F.transform(ids, lambda i: F.coalesce(F.try_element_at(characters, i), F.lit("?"))), "")
+    return decode(ids)
 
 
 def next_tokens(df: DataFrame, id_col: str, ids_col: str) -> DataFrame:

@@ -101,8 +101,7 @@ def char_encode(spark, sf):
 @query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
 def char_roundtrip(spark, sf):
     vocabulary = tokens.vocabulary_map(tokens.char_vocabulary(table(spark, sf, "documents"), "text"))
-    back = F.map_from_entries(F.transform(F.map_entries(vocabulary), lambda e: F.struct(e.value, e.key)))
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", tokens.decode_chars(tokens.encode_chars(F.col("text"), vocabulary), back).alias("text"))
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", tokens.decode_chars(tokens.encode_chars(F.col("text"), vocabulary), vocabulary).alias("text"))
 
 
 @query(f"WITH {_IDS}, n AS (SELECT id AS token, lead(id) OVER (PARTITION BY doc_id ORDER BY pos) AS next_token FROM i) SELECT CAST(token AS INTEGER) AS token, CAST(next_token AS INTEGER) AS next_token, count(*) AS n FROM n WHERE next_token IS NOT NULL GROUP BY 1, 2")

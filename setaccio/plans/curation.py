@@ -14,7 +14,7 @@ def perplexity_limit(passing: DataFrame, id_col: str, ppl_col: str, share: float
     The documents given are those that keep the rules, whatever their language.
     """
     finite = F.col(ppl_col).isNotNull() & ~F.isnan(ppl_col) & (F.col(ppl_col) < float("inf"))
-    head = scoring.first_sample(passing.where(finite).select(id_col, ppl_col), id_col, sample)
+    head = cut(scoring.first_sample(passing.where(finite).select(id_col, ppl_col), id_col, sample))
     row = scoring.index_percentiles(head, ppl_col, [share]).first()
     return None if row is None else row["value"]
 

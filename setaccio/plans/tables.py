@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of this process's written tables.
+_written: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,7 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    """A folder of its own for a table in the shared folder."""
+    _written.append(f"{shared_dir(spark)}/{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes the tables written so far; call it when their results have been used. Gives how many there were."""
+    n = len(_written)
+    for where in _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _written.clear()
+    return n
 
 
 def cut(df: DataFrame) -> DataFrame:

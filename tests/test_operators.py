@@ -67,6 +67,8 @@ def test_characters(spark):
     ids = spark.createDataFrame([("zab",), (None,)], "t string").select(tokens.encode_chars(F.col("t"), tokens.vocabulary_map(vocabulary)).alias("i")).collect()
     assert [r.i for r in ids] == [[0, 1], []]
     empty = tokens.vocabulary_map(tokens.char_vocabulary(df.limit(0), "text"))
+    back = spark.createDataFrame([([0, 2, 9],), (None,)], "i array<int>").select(tokens.decode_chars(F.col("i"), tokens.vocabulary_map(vocabulary)).alias("t")).collect()
+    assert [r.t for r in back] == ["aà?", None]
     assert df.select(tokens.encode_chars(F.col("text"), empty).alias("i")).first().i == []
 
 
@@ -272,3 +274,14 @@ def test_any_scorer(spark):
     assert got == {1: 15.0, 2: float("inf")}
     labels = {r.id: (r.ppl, r.label, r.bar) for r in scoring.judged(df, "id", "text", lambda: len).collect()}
     assert labels == {1: (15.0, "low", 9), 2: (None, None, None)}
+
+
+def test_written_tables_can_be_cleared(spark):
+    from pathlib import Path
+
+    from setaccio.plans import tables
+
+    before = len(list(Path(tables.shared_dir(spark)).iterdir()))
+    tables.cut(spark.range(3))
+    assert len(list(Path(tables.shared_dir(spark)).iterdir())) >= before
+    assert tables.clear(spark) >= 1 and tables.clear(spark) == 0
