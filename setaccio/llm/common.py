@@ -1,35 +1,15 @@
-"""What the operators of this subpackage share: reading tables, cutting lineage, Arrow stages."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
+from setaccio.plans.tables import cut, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; set to a local one only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="setaccio-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it again, so that what follows doesn't run it twice
-    and a lost executor costs no more than the tasks it held."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["arrow_map", "cut", "keyed", "table", "texts_of"]
 
 
 def keyed(df: DataFrame, id_col: str, *cols: str) -> DataFrame:
@@ -59,7 +39,3 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """The column's strings, nulls as empty ones."""
     return [t or "" for t in batch.column(column).to_pylist()]
-
-
-def count_by(df: DataFrame, *cols: str) -> DataFrame:
-    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
