@@ -19,7 +19,7 @@ from .wordhash import blocks, decompose, fold, shingle_hashes, word_hashes
 #: Rows that samples and word lists may have together; they are read on the driver.
 MOST_SAMPLES = 20_000
 #: Items with which a text is a list although most of it is its one sentence of introduction.
-FEW = 5
+FEW = 4
 #: Lengths of the n-grams whose commonest is measured.
 NGRAMS = (2, 3, 4)
 
@@ -30,7 +30,7 @@ _DASHES = "–—«"
 _ITEM = re.compile(r"\s*(?:[-*+•◦▪‣·»–—]|\(?\d{1,3}[.)°]|\(?[a-zA-Z][.)]|\(?[ivxIVX]{1,5}[.)]|\[[ xX]?\])\s+\S")
 _BLANK_LINE = re.compile(r"\n\s*\n")
 _GAP = re.compile(r"(?<=\S) {2,}(?=\S)")
-_SENTENCE = re.compile(r"[^\W\d_]{2,}[»”\")]*[.!?…]+(?=\s|$)")
+_SENTENCE = re.compile(r"[^\W\d_]{2,}[»”\")]*[.!?…]+[»”\")]*(?=\s+[«“\"(–—]*[A-ZÀ-Þ]|\s*$)")
 #: Separators of a table's fields; a list's items are separated by the same or by INLINE ones.
 FIELDS = ("|", "\t", ";", '","', " - ", ",", " / ")
 INLINE = (" » ", " · ", " | ", " • ", " / ", "; ", ", ")
@@ -47,6 +47,7 @@ class Language:
 
     def __init__(self, common: list[str], samples: list[str]):
         self.common = np.unique(word_hashes([fold(w) for w in common])[0])
+        self.letters = frozenset(w for w in map(fold, common) if len(w) == 1)
         self.known = np.zeros(1 << 15, dtype=bool)
         codes, _, inner = _trigrams([decompose(t) for t in [*samples, *common]])
         self.known[codes[inner]] = True
@@ -144,20 +145,23 @@ def _table_share(raw: list[str], sizes: np.ndarray) -> float:
     return best
 
 
-def _list_share(lines: list[str], sizes: np.ndarray, words: np.ndarray, common: np.ndarray) -> tuple[float, int, int]:
+def _list_share(lines: list[str], sizes: np.ndarray, words: np.ndarray, common: np.ndarray, letters: frozenset[str]) -> tuple[float, int, int]:
     """(share of the characters that stand in items; items; sentences outside them, counted where it matters)."""
     items = np.zeros(len(lines), dtype=bool)
     n_items = 0
     for i, line in enumerate(lines):
         w, c = int(words[i]), int(common[i])
         stopped = line[-1] in _STOPS
-        if _ITEM.match(line) and w <= 9 and (c <= 0.3 * w or w <= 4 and not stopped) and not (stopped and (w >= 5 and line[-1] != "." or line[0] in _DASHES)):
+        bullet = _ITEM.match(line)
+        if bullet and (mark := bullet[0].strip()[:-1].strip(" ()[].°")) and mark.isalnum():
+            w, c = w - 1, c - (mark.lower() in letters)  # the mark isn't a word of the item
+        if bullet and w <= 9 and (c <= 0.3 * w or w <= 4 and not stopped) and not (stopped and (w >= 5 and line[-1] != "." or line[0] in _DASHES)):
             items[i] = True
             n_items += 1
             continue
         for sep in INLINE:
             n = line.count(sep) + 1
-            if n >= 4 and w <= (6 if sep == ", " else 7) * n and c <= (0.2 if sep in (", ", "; ") else 0.3) * w and not len(_SENTENCE.findall(line)) > 1:
+            if n >= 4 and w <= (4.5 if sep in (", ", "; ") else 7) * n and c <= (0.2 if sep in (", ", "; ") else 0.3) * w and not len(_SENTENCE.findall(line)) > 1:
                 items[i] = True
                 n_items += n
                 break
@@ -184,7 +188,7 @@ def _kind(s: dict, n_items: int, sentences: int) -> str:
         return "blank"
     if s["n_lines"] >= 4 and s["duplicate_lines"] > 0.5 or s["n_words"] >= 12 and s["top_4gram"] > 0.4:
         return "junk"
-    if s["table_share"] >= 0.5 and (s["mixed_words"] < 0.3 or s["known_trigrams"] >= 0.7):
+    if s["table_share"] >= 0.5 and (s["known_trigrams"] >= 0.7 or s["digit_ratio"] >= 0.4):
         return "table"
     if s["n_chars"] >= 20 and (s["n_words"] < 0.04 * s["n_chars"] and s["symbol_ratio"] > 0.4 or s["n_words"] and s["known_trigrams"] < 0.74):
         return "junk"
@@ -233,7 +237,7 @@ def describe(texts: list[str], language: Language, repetition: bool = True) -> l
             "top_2gram": float(top[2][k]), "top_3gram": float(top[3][k]), "top_4gram": float(top[4][k]),
             "table_share": _table_share(raw, width) if own else 0.0,
         }
-        s["list_share"], items, sentences = _list_share(own, width, np.diff(word_at[a : b + 1]), common[a:b]) if own else (0.0, 0, 0)
+        s["list_share"], items, sentences = _list_share(own, width, np.diff(word_at[a : b + 1]), common[a:b], language.letters) if own else (0.0, 0, 0)
         s["kind"] = _kind(s, items, sentences)
         out.append(s)
     return out

@@ -24,7 +24,11 @@ LISTS = [
 ]
 ROWS = [("Torre", "usato", "12"), ("Modello", "nuovo", "7,50"), ("Mela", "nuovo", "3"), ("Pera", "usato", "41"), ("Uva", "", "9")]
 TABLES = ["\n".join(sep.join(r) for r in ROWS) for sep in (" | ", "\t", ";", " - ")] + ["\n".join('"' + '","'.join(r) + '"' for r in ROWS), "\n".join("  ".join(x.ljust(10) for x in r).strip() for r in ROWS[:4])]
-JUNK = ["zxqv wkrt pplz qqwx vbnm zzzk wqxr " * 4, "a1b2 c3d4e5 f6_g7 h8k9 k1l2m3 n4 " * 5, "-----------\n***********\n===========\n+++++++++++", "var xq=12;\n.kq-zz{margin:3px}\nif(zqw===3){kkx(qzv,'wqz')}\n" * 3, "clicca qui ora\n" * 9]
+JUNK = [
+    "5475>-5/|f  e?*_]&#!%;\n|fee%<6.b~*e@{44|b!06.87?a{cc}\n0!.-;@|af;}}8#<+~;,&|~:3f~?b_<;d\n|8]]~f^ |9{b0^*}|,+,=8b[ &[a4\n",
+    "zxqv wkrt pplz qqwx vbnm zzzk wqxr " * 4, "a1b2 c3d4e5 f6_g7 h8k9 k1l2m3 n4 " * 5, "-----------\n***********\n===========\n+++++++++++", "var xq=12;\n.kq-zz{margin:3px}\nif(zqw===3){kkx(qzv,'wqz')}\n" * 3, "clicca qui ora\n" * 9]
+INTRO = "Il gatto, secondo il testo (cfr. n. 24, pp. 583), non ha mangiato la zuppa con la mela, perché una vicina gli ha portato un pesce e si è messo a dormire"
+LISTS += [INTRO + ".\n" + "\n".join(f"{chr(97 + k)}) {x};" for k, x in enumerate(ITEMS[:4]))]
 PROSES = [PROSE, PROSE.replace(". ", ".\n"), PROSE.upper(), PROSE.replace(".", ""), "\n".join(f"– {s.strip()}." for s in PROSE.split(".") if s.strip()), PROSE + "\n- mela\n- pera\n- uva\n" + PROSE, "\n".join(PROSE[i : i + 40] for i in range(0, len(PROSE), 40)), "Ciao"]
 
 
