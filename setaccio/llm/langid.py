@@ -105,19 +105,23 @@ class Words:
         self.sentence = np.flatnonzero(new)  # first word of each sentence
 
     def grams(self):
-        """(word of each n-gram, its hash) for each length."""
-        fitting = self.size <= LONGEST_WORD
+        """(word of each n-gram, its hash) for each length; the hash of a longer one goes on from that of the shorter at its place."""
+        count = np.where(self.size <= LONGEST_WORD, np.maximum(self.size + 3 - SIZES[0], 0), 0)
+        word = np.repeat(np.arange(len(count)), count)
+        inside = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
+        at, base = self.first[word] - 1 + inside, np.uint64(0x9E3779B97F4A7C15)
+        room = self.size[word] + 2 - inside  # letters and ends from here on
+        h = np.zeros(len(word), dtype=np.uint64)
+        for k in range(SIZES[0] - 1):
+            h = h * base + self.low[at + k]
         for n in SIZES:
-            count = np.where(fitting, np.maximum(self.size + 3 - n, 0), 0)
-            total = int(count.sum())
-            if not total:
-                continue
-            word = np.repeat(np.arange(len(count)), count)
-            at = np.repeat(self.first - 1 - (np.cumsum(count) - count), count) + np.arange(total)
-            h = np.full(total, n, dtype=np.uint64)
-            for k in range(n):
-                h = h * np.uint64(0x9E3779B97F4A7C15) + self.low[at + k]
-            yield word, mix(h)
+            if n > SIZES[0]:
+                keep = np.flatnonzero(room >= n)
+                word, at, room, h = word[keep], at[keep], room[keep], h[keep]
+            if not len(word):
+                return
+            h = h * base + self.low[at + n - 1]
+            yield word, mix(h + np.uint64(n))
 
 
 def _cells(h: np.ndarray) -> list[np.ndarray]:
@@ -266,7 +270,7 @@ def identify(df: DataFrame, id_col: str, text_col: str, languages: Languages, la
         def f(batch: pa.RecordBatch) -> dict:
             texts, kinds, rows = texts_of(batch, "c0"), [], []
             for lo, hi in blocks(texts):
-                kinds += [s["kind"] for s in describe(texts[lo:hi], common)]
+                kinds += [s["kind"] for s in describe(texts[lo:hi], common, (4,))]
                 rows += segments(texts[lo:hi], known)
             return {
                 "id": batch.column("id"), "label": batch.column("c1"), "kind": kinds, "langs": [languages_of(r) for r in rows],

@@ -201,8 +201,9 @@ def _kind(s: dict, n_items: int, sentences: int) -> str:
     return "prose"
 
 
-def describe(texts: list[str], language: Language, repetition: bool = True) -> list[dict]:
-    """The statistics of each text; without repetition those of n-grams are zero, and only repeated lines tell a text over and over."""
+def describe(texts: list[str], language: Language, repetition: tuple[int, ...] = NGRAMS) -> list[dict]:
+    """The statistics of each text. repetition: lengths of the n-grams that are measured, of which only 4 matters for the kind; the others
+    are zero, and without 4 only repeated lines tell the same over and over."""
     raws = [[x for x in t.splitlines() if x and not x.isspace()] for t in texts]
     lines = [[x.strip() for x in raw] for raw in raws]
     flat = [decompose(x) for own in lines for x in own]
@@ -213,7 +214,7 @@ def describe(texts: list[str], language: Language, repetition: bool = True) -> l
     codes, code_at, inner = _trigrams(flat)
     known, letters = _sums(language.known[codes] & inner, code_at), _sums(inner, code_at)
     doc_at = word_at[line_at]
-    top = {n: _top_coverage(words, sizes, doc_at, n) if repetition else np.zeros(len(texts)) for n in NGRAMS}
+    top = {n: _top_coverage(words, sizes, doc_at, n) if n in repetition else np.zeros(len(texts)) for n in NGRAMS}
     by_doc = {k: np.diff(np.concatenate(([0], np.cumsum(v)))[line_at]) for k, v in (("common", common), ("known", known), ("letters", letters))}
     n_words, n_mixed, n_alnum, n_digits = np.diff(doc_at), _sums(mixed, doc_at), _sums(sizes, doc_at), _sums(digits, doc_at)
     out = []

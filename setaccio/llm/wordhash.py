@@ -12,8 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Code points a block holds at most (a single longer text is a block by itself).
-BLOCK_CHARS = 1_000_000
+#: Code points a block holds at most (a single longer text is a block by itself); its arrays then stay in the cache of a core.
+BLOCK_CHARS = 60_000
 
 _U = np.uint64
 _MIX1, _MIX2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
