@@ -1,46 +1,38 @@
-"""Problem 2: the same or nearly the same prompts across splits, by suffix arrays of canonical texts.
+"""Problem 2: the same or nearly the same prompts across splits, by words grouped by slips.
 
 Each prompt becomes a canonical text (see requests.py): its values, then its words with phrases in a fixed order.
-Equal canonical texts are a class and go on once. Of each word of a class's text only its letters are kept, each once and in order, so that
-letters doubled or swapped change nothing; what is left is read as a circle, and its rotations that begin at a word are
-its suffixes; they are partitioned by the values and the first `LEAST` characters, which two suffixes that share a long
-enough prefix have in common, and sorted in each partition: a suffix array in parts. Neighbours of different splits
-with a long common prefix give shared spans, the spans of a pair are merged into the share of each text they cover, and pairs
-that are covered well enough are compared word by word.
+Equal canonical texts are a class and go on once. Two words are linked if slips of the keyboard set them apart, and linked words
+make a group. Requests that are the same in any order of phrases and with a slip in any of their words have the same words but for
+their groups, each as often; so classes are joined by their values and the groups of their words, and each pair that meets is
+compared word by word. Nothing depends on how many classes meet, on the order of words or on how many of them have slips.
 """
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import arrow_map, cut, table
-from .requests import canonical, same_request
-
-#: Characters of a common prefix that count as a shared span (or a whole shorter text).
-LEAST = 16
-#: Characters of a suffix that are kept; longer spans are pieced together from the suffixes that begin inside them.
-KEPT = 256
-#: Suffixes of a group up to which all its pairs are looked at.
-FEW = 24
-#: Share of either text that the spans of a pair must cover to have it compared; a span of KEPT characters is always enough.
-COVERED = 0.5
+from .components import connected_components
+from .requests import canonical, same_but_for_slip, same_request, squeeze
+
+#: Characters of a common beginning, and members of a group up to which all its pairs are taken: only of the walk of `_pairs`.
+LEAST, FEW = 16, 24
 TRAIN, HELD_OUT = ("train",), ("val", "test")
 
 
 def _canonical(batch: pa.RecordBatch) -> dict:
-    keep, texts, keys = [], [], []
+    keep, texts = [], []
     for i, prompt in enumerate(batch.column("prompt").to_pylist()):
         values, words = canonical(prompt)
         if values or words:
             keep.append(i)
             texts.append(" ".join([*values, *words]))
-            keys.append(" ".join(values))
     at = pa.array(keep, type=pa.int64())
-    return {"id": batch.column("id").take(at), "split": batch.column("split").take(at), "source": batch.column("source").take(at), "text": texts, "key": keys}
+    return {"id": batch.column("id").take(at), "split": batch.column("split").take(at), "source": batch.column("source").take(at), "text": texts}
 
 
 def outline(text: str) -> str:
@@ -48,23 +40,46 @@ def outline(text: str) -> str:
     return " ".join(w if w[0] == "@" else "".join(sorted(set(w))) for w in text.split(" "))
 
 
-def _suffixes(batch: pa.RecordBatch) -> dict:
-    out: dict[str, list] = {k: [] for k in ("cls", "sides", "key", "size", "at", "prefix", "suffix")}
-    for cls, sides, key, text in zip(*(batch.column(c).to_pylist() for c in ("cls", "sides", "key", "text"))):
-        text = outline(text)
-        n, circle = len(text) + 1, text + " "
-        circle = circle * (1 + -(-KEPT // n)) if n < KEPT else circle + circle[:KEPT]
-        seen = set()
-        for at in [0] + [i + 1 for i, c in enumerate(text) if c == " "]:
-            suffix = circle[at : at + min(n, KEPT)]
-            if suffix in seen:  # of a text that says the same again and again
-                continue
-            seen.add(suffix)
-            for name, v in zip(out, (cls, sides, key, n, at, suffix[:LEAST], suffix)):
+@lru_cache(100_000)
+def _letter(c: str) -> int:
+    return int.from_bytes(blake2b(c.encode("utf-8", "surrogatepass"), digest_size=7).digest())
+
+
+def _marks(batch: pa.RecordBatch) -> dict:
+    """Of each word that may have slips, the sums of its letters' hashes, each letter once: whole, and without one or two letters.
+
+    Slips leave at most two letters out and put none in, so of two words that they set apart the whole of one is among the other's.
+    """
+    out: dict[str, list] = {k: [] for k in ("mark", "word", "whole", "size")}
+    for word in batch.column("word").to_pylist():
+        if len(word) < 3 or word[0] == "@" or any(c.isdigit() for c in word):
+            continue
+        letters = [_letter(c) for c in outline(word)]
+        whole = sum(letters)
+        less = {whole - x for x in letters} | {whole - x - y for i, x in enumerate(letters) for y in letters[:i]}
+        for mark in {whole} | less:
+            for name, v in zip(out, (mark % 2**62, word, mark == whole, len(squeeze(word)))):
                 out[name].append(v)
     return out
 
 
+def _slipped(batch: pa.RecordBatch) -> dict:
+    keep = pa.array([same_but_for_slip(x, y) or same_but_for_slip(y, x) for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())], type=pa.bool_())
+    return {c: batch.column(c).filter(keep) for c in ("a", "b")}
+
+
+def slip_groups(words: DataFrame) -> DataFrame:
+    """id, component: the hash of each word that slips set apart from another one of the table, and that of its group, closed over chains.
+
+    A word without a row is a group of its own. Two words of one hash are in one group, which only brings more pairs to compare.
+    """
+    marks = cut(arrow_map(words.distinct(), lambda: _marks, "mark long, word string, whole boolean, size int"))
+    whole = marks.where("whole").select("mark", F.col("word").alias("a"), F.col("size").alias("size_a"))
+    near = whole.join(marks.select("mark", F.col("word").alias("b"), F.col("size").alias("size_b")), "mark").where("a != b and abs(size_a - size_b) <= 2")
+    slipped = arrow_map(near.select("a", "b"), lambda: _slipped, "a string, b string")
+    return connected_components(slipped.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
+
+
 def _variants(word: str) -> set[str]:
     """A word's outline and what is left of it without one or two letters; two outlines that slips set apart have one in common."""
     if word[:1] == "@":
@@ -102,48 +117,6 @@ def _pairs(group: list[tuple], members: list[tuple[int, int]], found: set[tuple[
             _pairs(group, own, found)
 
 
-def _shared(group: list[tuple]) -> Iterator[tuple]:
-    """(class, class, place, place, length, size, size) of the spans that suffixes of different sides share in a sorted group.
-
-    A span must be LEAST long, or the whole shorter text, and a third of the shorter text."""
-    if len(group) < 2 or len({g[1] for g in group}) == 1 and group[0][1] != 3:
-        return
-    found: set[tuple[int, int]] = set()
-    _pairs(group, [(i, group[0][6].rfind(" ") + 1) for i in range(len(group))], found)
-    for i, j in found:
-        a, b = group[i], group[j]
-        if a[0] == b[0] or a[1] == b[1] != 3:
-            continue
-        common = len(os.path.commonprefix((a[5], b[5])))
-        if (common >= LEAST or common >= min(a[3], b[3])) and (3 * common >= min(a[3], b[3]) or common >= KEPT):
-            x, y = (a, b) if a[0] < b[0] else (b, a)
-            yield x[0], y[0], x[4], y[4], common, x[3], y[3]
-
-
-def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("a", "b", "at_a", "at_b", "length", "size_a", "size_b")
-    rows: list[tuple] = []
-
-    def flush() -> pa.RecordBatch:
-        cols = list(zip(*rows)) or [()] * len(names)
-        rows.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=list(names))
-
-    group: list[tuple] = []
-    head = None
-    for batch in batches:
-        for r in zip(*(batch.column(c).to_pylist() for c in ("cls", "sides", "key", "size", "at", "suffix", "prefix"))):
-            mark = (r[2], r[6])
-            if mark != head:
-                rows.extend(_shared(group))
-                group, head = [], mark
-                if len(rows) > 50_000:
-                    yield flush()
-            group.append(r)
-    rows.extend(_shared(group))
-    yield flush()
-
-
 def _cover(spans: list[tuple[int, int]], size: int) -> float:
     """Share of a circle of `size` characters that the spans (begin, length) cover."""
     pieces = [p for b, n in spans for p in ([(b, b + n)] if b + n <= size else [(b, size), (0, min(b, b + n - size))])]
@@ -154,15 +127,14 @@ def _cover(spans: list[tuple[int, int]], size: int) -> float:
     return total / size
 
 
-def _merged(batch: pa.RecordBatch) -> dict:
-    out: dict[str, list] = {k: [] for k in ("a", "b", "cover_a", "cover_b", "longest")}
-    for r in batch.to_pylist():
-        out["longest"].append(max(s["length"] for s in r["spans"]))
-        out["a"].append(r["a"])
-        out["b"].append(r["b"])
-        out["cover_a"].append(_cover([(s["at_a"], s["length"]) for s in r["spans"]], r["size_a"]))
-        out["cover_b"].append(_cover([(s["at_b"], s["length"]) for s in r["spans"]], r["size_b"]))
-    return out
+def _covered(x: str, y: str) -> float:
+    """Share of outline x that lies in words which y has too, however few follow each other."""
+    there, spans, at = set(y.split(" ")), [], 0
+    for w in x.split(" "):
+        if w in there:
+            spans.append((at, len(w) + 1))
+        at += len(w) + 1
+    return _cover(spans, at)
 
 
 def _same(batch: pa.RecordBatch) -> dict:
@@ -170,8 +142,11 @@ def _same(batch: pa.RecordBatch) -> dict:
         words = text.split(" ")
         return [w for w in words if w[0] == "@"], [w for w in words if w[0] != "@"]
 
-    keep = pa.array([same_request(form(x), form(y)) for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())], type=pa.bool_())
-    return {c: batch.column(c).filter(keep) for c in ("a", "b", "cover_a", "cover_b")}
+    texts = list(zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()))
+    keep = [same_request(form(x), form(y)) for x, y in texts]
+    outlines = [(outline(x), outline(y)) for (x, y), same in zip(texts, keep) if same]
+    kept = pa.array(keep, type=pa.bool_())
+    return {c: batch.column(c).filter(kept) for c in ("a", "b")} | {"cover_a": [_covered(x, y) for x, y in outlines], "cover_b": [_covered(y, x) for x, y in outlines]}
 
 
 def cross_split(df: DataFrame, id_col: str, prompt_col: str, split_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
@@ -185,24 +160,26 @@ def cross_split(df: DataFrame, id_col: str, prompt_col: str, split_col: str, sou
     side = F.when(F.col("split").isin(*TRAIN), 1).when(F.col("split").isin(*HELD_OUT), 2)
     rows = df.select(df[id_col].alias("id"), df[prompt_col].alias("prompt"), df[split_col].alias("split"), df[source_col].alias("source"))
     rows = rows.where("id is not null and prompt is not null").where(side.isNotNull())
-    records = cut(arrow_map(rows, lambda: _canonical, "id long, split string, source string, text string, key string").withColumn("side", side))
-    classes = records.groupBy("text", "key").agg(F.min("id").alias("cls"), F.bit_or("side").alias("sides"))
+    records = cut(arrow_map(rows, lambda: _canonical, "id long, split string, source string, text string").withColumn("side", side))
+    classes = records.groupBy("text").agg(F.min("id").alias("cls"), F.bit_or("side").alias("sides"))
     classes = cut(classes)
-    suffixes = arrow_map(classes, lambda: _suffixes, "cls long, sides int, key string, size int, at int, prefix string, suffix string")
-    ordered = suffixes.repartition("key", "prefix").sortWithinPartitions("key", "prefix", "suffix")
-    spans = ordered.mapInArrow(_adjacent, "a long, b long, at_a long, at_b long, length long, size_a long, size_b long")
-    pairs = spans.groupBy("a", "b", "size_a", "size_b").agg(F.collect_list(F.struct("at_a", "at_b", "length")).alias("spans"))
-    covered = arrow_map(pairs, lambda: _merged, "a long, b long, cover_a double, cover_b double, longest long").where((F.greatest("cover_a", "cover_b") >= COVERED) | (F.col("longest") >= KEPT))
-    texts = classes.select("cls", "text")
-    beside = covered.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
-    links = arrow_map(beside.select("a", "b", "cover_a", "cover_b", "text_a", "text_b"), lambda: _same, "a long, b long, cover_a double, cover_b double")
-    members = records.join(classes.select("text", "key", "cls", "sides"), ["text", "key"]).select("id", "split", "source", "side", "cls", "sides")
+    classes = classes.withColumn("own", F.xxhash64("text"))
+    words = classes.select("cls", "own", "sides", F.explode(F.split("text", " ")).alias("word"))
+    grouped = words.select("cls", "own", "sides", F.xxhash64("word").alias("id")).join(slip_groups(words.select("word")), "id", "left")
+    # a sum doesn't depend on the order of words; other words of the same sum are told apart below
+    keys = cut(grouped.groupBy("cls", "own", "sides").agg(F.sum(F.coalesce("component", "id").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("n_words")))
+    a, b = (keys.select("sum", "n_words", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "own", "sides"))) for x in "ab")
+    pairs = a.join(b, ["sum", "n_words"]).where((F.col("cls_a") < F.col("cls_b")) & (F.col("sides_a").bitwiseOR(F.col("sides_b")) == 3))
+    for x in "ab":
+        pairs = pairs.join(classes.select(F.col("cls").alias(f"cls_{x}"), F.col("own").alias(f"own_{x}"), F.col("text").alias(f"text_{x}")), [f"cls_{x}", f"own_{x}"])
+    links = arrow_map(pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "text_a", "text_b"), lambda: _same, "a long, b long, cover_a double, cover_b double")
+    members = records.join(classes.select("text", "cls", "sides"), "text").select("id", "split", "source", "side", "cls", "sides")
     return members, links
 
 
 def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pair of a training row (id_t, source_t) and a held-out row (id_h, split_h, source_h) of the same request, with the share
-    of the held-out text that shared spans cover."""
+    of the held-out text that lies in words of both, their letters once and in order."""
     members, links = cross_split(table(spark, sf_dir, "sft_calendar_v2"), "pair_id", "prompt", "split", "source")
     members, links = cut(members), cut(links)
     train = members.where("side = 1").select(F.col("cls").alias("cls_t"), F.col("id").alias("id_t"), F.col("source").alias("source_t"))

@@ -105,3 +105,14 @@ def test_queries(spark, sf):
     found = [tuple(r) for r in crosssplit.p2_found(spark, sf).select("pair_id_a", "pair_id_b").collect()]
     assert set(found) == brute(rows) and len(set(found)) == len(found)
     assert crosssplit.p2_counts(spark, sf).agg(F.sum("n_pairs")).first()[0] == len(found)
+
+
+def test_hot_beginning_in_any_order(clashing):
+    """Many requests with the same values and beginning, and the same ones with their phrases in another order."""
+    r = random.Random(4)
+    own = sorted({"".join(r.choice("bcdfglmnprstv") + r.choice("aeiou") for _ in range(2)) for _ in range(90)})
+    rows = [(2 * k, f"Segna la revisione del contratto in agenda {w} il 15/11 alle 10:30", "train", "x") for k, w in enumerate(own)]
+    rows += [(2 * k + 1, f"Segna in agenda la revisione del contratto {w} il 15/11 alle 10:30", "val", "x") for k, w in enumerate(own)]
+    want = brute(rows)
+    assert len(want) >= len(own) > 60
+    assert pairs(clashing(rows, "rec long, ask string, part string, origin string")) == want
