@@ -116,3 +116,19 @@ def test_hot_beginning_in_any_order(clashing):
     want = brute(rows)
     assert len(want) >= len(own) > 60
     assert pairs(clashing(rows, "rec long, ask string, part string, origin string")) == want
+
+
+def test_slips_in_many_words(clashing):
+    """Slips spread so evenly that no stretch of the two requests is long, without values and with them."""
+    rows = [
+        (1, "Che tmpo fara a Comepo Nagere Vecchia?", "train", "x"), (2, "Che tempo fara a Comepo Ngere Vecchia?", "val", "x"), (3, "Che tempo fara a Comepo Nagero Vecchia?", "val", "x"),
+        (4, "Segn in agnda la revsione del conratto di Brno Cnti il 3 marzo alle 9:00", "train", "x"), (5, "Segna in agenda la revisione del contratto di Bruno Conti il 3/3 alle 9:00", "test", "x"),
+        (6, "Segna in agenda la revisione del contratto di Bruno Conti il 4/3 alle 9:00", "test", "x"), (7, "Chi ha fodato Sicpa", "train", None), (8, "Chi ha fondato Sicapa", "val", None),
+    ]
+    assert brute(rows) == {(1, 2), (4, 5), (7, 8)}
+    assert pairs(clashing(rows, "rec long, ask string, part string, origin string")) == {(1, 2), (4, 5), (7, 8)}
+
+
+def test_cover_counts_every_word():
+    """No stretch is too short to count: words of both texts do, wherever they are."""
+    assert crosssplit._covered("aa bbb", "bbb cc aa") == 1 and crosssplit._covered("aa bbb", "cc aa") == 3 / 7 and crosssplit._covered("aa", "bb") == 0
