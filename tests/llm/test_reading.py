@@ -73,3 +73,8 @@ def test_queries(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert found and all(v in (1, 2, 3) and len(texts[k].split()) >= 60 for k, v in found.items())
     assert sum(r.n_documents for r in reading.p8_profile(spark, sf).collect()) == len(found)
+
+
+def test_one_phrase_over_and_over_has_no_level(clashing, models):
+    rows = [(1, "la mamma prepara la cena per tutti " * 12)]
+    assert reading.reading_levels(clashing(rows, "doc long, text string"), "doc", "text", *models).count() == 0
