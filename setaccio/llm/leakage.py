@@ -28,7 +28,8 @@ PASSAGE_CHARS = 4_000_000
 #: Score of an equal and of a substituted word in the best stretch of a diagonal.
 SAME, OTHER = 1, -2
 
-_TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>|<!--.*?-->", re.S)
+#: A tag may be long and go on over line ends.
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<!--.*?-->", re.S)
 _LINK = re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]*)\]\]")
 _HYPHENS = "".join(map(chr, (0x2D, 0x2010, 0x2011)))
 _BROKEN = re.compile(rf"(?<=[^\W_])[{_HYPHENS}][^\S\r\n]*\r?\n[^\S\r\n]*(?=[^\W\d_])")

@@ -64,3 +64,10 @@ def test_query_matches_brute_force(spark, sf):
     assert len(got) == len(set(got)) and set(got) == brute(corpus, passages)
     assert leakage.p4_items(spark, sf).count() == len({j for _, j in got})
     assert leakage.p4_overlaps(spark, sf).count() >= len(got)
+
+
+def test_long_and_broken_tags(clashing, words):
+    own = words(12, 3)
+    long, broken = f'<a href="https://example.org/{"x" * 300}" title="una voce con un titolo lungo">', '<a href="x"\n  title="una voce">'
+    corpus = [(k, " ".join([*own[:6], tag + own[6] + "</a>", *own[7:]])) for k, tag in enumerate((long, broken))] + [(2, " ".join([*own[:6], "a < b", *own[6:], ">"]))]
+    assert found(clashing(corpus, "row long, text string"), clashing([(9, " ".join(own))], "probe long, text string")) == {(0, 9), (1, 9)}
