@@ -13,6 +13,8 @@ from setaccio.plans.tables import cut
 
 #: Characters that are scored, and words a text must have.
 HEAD, LEAST_WORDS = 10_000, 8
+#: Trigrams of a model that is broadcast; a larger one is shuffled.
+MOST_GRAMS = 50_000
 
 
 def _tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -129,7 +131,8 @@ def classify_language(df: DataFrame, id_col: str, text_col: str, model: DataFram
     """id_col, lang, score of the head of every text that isn't null and has a trigram of the model: the likeliest language and its share of the
     likelihood a trigram, so that long texts aren't all certain."""
     docs = df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.substring(text_col, 1, length).alias("text"))
-    found = _grams(docs, "text").join(F.broadcast(model.limit(50_000)), "gram").select("id", "n", F.explode("p").alias("lang", "p"))
+    small = model.limit(MOST_GRAMS + 1).count() <= MOST_GRAMS
+    found = _grams(docs, "text").join(F.broadcast(model) if small else model, "gram").select("id", "n", F.explode("p").alias("lang", "p"))
     sums = found.groupBy("id", "lang").agg((F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("mean"))
     best = sums.groupBy("id").agg(F.max(F.struct(F.col("mean"), F.col("lang"))).alias("b"), F.collect_list("mean").alias("all"))
     score = 1 / F.aggregate(F.transform("all", lambda m: F.exp((m - F.col("b.mean")) * 10)), F.lit(0.0), lambda a, x: a + x)

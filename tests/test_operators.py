@@ -155,6 +155,13 @@ def test_classifier(spark):
     assert {r.id: r.lang for r in scoring.classify_language(docs, "id", "text", model).collect()} == {1: "it", 2: "en"}
 
 
+def test_classifier_with_many_trigrams(spark):
+    grams = [chr(0x4E00 + i // 300) + chr(0x5000 + i % 300) + "a" for i in range(60_000)]
+    model = spark.createDataFrame([(g, {"x": -1.0}) for g in grams], "gram string, p map<string,double>")
+    docs = spark.createDataFrame(list(enumerate(grams[::600])), "id long, text string")
+    assert scoring.classify_language(docs, "id", "text", model).count() == 100
+
+
 def test_funnel_adds_up(spark):
     long = "parola diversa " * 30
     data = [(1, long + "a", "it", 10.0), (2, long + "a", "it", 12.0), (3, "corta", "it", 1.0), (4, long + "b", "en", 5.0), (5, long + "c", "it", 900.0), (6, None, "it", 1.0), (7, long + "d", None, 2.0), (8, long + "e", "it", None)]
