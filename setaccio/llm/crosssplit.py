@@ -1,26 +1,39 @@
-"""Problem 2: the same or nearly the same prompts across splits, by words grouped by slips.
-
-Each prompt becomes a canonical text (see requests.py): its values, then its words with phrases in a fixed order.
-Equal canonical texts are a class and go on once. Two words are linked if slips of the keyboard set them apart, and linked words
-make a group. Requests that are the same in any order of phrases and with a slip in any of their words have the same words but for
-their groups, each as often; so classes are joined by their values and the groups of their words, and each pair that meets is
-compared word by word. Nothing depends on how many classes meet, on the order of words or on how many of them have slips.
+"""Problem 2: the same or nearly the same prompts across splits, by suffix arrays over partitioned concatenated texts.
+
+Each distinct prompt becomes a canonical text (see requests.py): its values, then its words. Words that slips of the keyboard set
+apart are linked, chains of links make a group, and a text is written as the tokens of its values and groups, so a slip ends no
+common prefix. The texts are partitioned: a part holds all texts of the same values, and one of more than `PART` texts
+is split by longer keys that the same requests share, at last into blocks that meet two by two. The texts of each part are concatenated and
+their suffixes sorted. The longest common prefixes of each suffix with its nearest neighbours of another split are the spans
+that its text shares with that split; merged, they give the text's coverage. Only texts wholly covered can be the same request as
+another one: each is compared with the texts that have a suffix in the narrowest of its intervals, word by word.
+No step depends on how many texts share a phrase, on the order of phrases or on how many words have slips.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import arrow_map, cut, table
 from .components import connected_components
 from .requests import canonical, same_but_for_slip, same_request, squeeze
-
-#: Characters of a common beginning, and members of a group up to which all its pairs are taken: only of the walk of `_pairs`.
-LEAST, FEW = 16, 24
+from .wordhash import mix
+
+#: Texts of a part; more of one key are split by a longer key, or into blocks.
+PART = 256
+#: Tokens whose suffixes are sorted at once: whole parts, or a single text that has more.
+AT_ONCE = 60_000
+#: Tokens of a common span that counts in a pair's coverage.
+LONG = 3
+#: Words with slips up to which their groups are sent to every task (16 bytes a word); more are joined by a shuffle, with the same result.
+MOST_SENT = 2_000_000
 TRAIN, HELD_OUT = ("train",), ("val", "test")
 
 
@@ -32,12 +45,7 @@ def _canonical(batch: pa.RecordBatch) -> dict:
             keep.append(i)
             texts.append(" ".join([*values, *words]))
     at = pa.array(keep, type=pa.int64())
-    return {"id": batch.column("id").take(at), "split": batch.column("split").take(at), "source": batch.column("source").take(at), "text": texts}
-
-
-def outline(text: str) -> str:
-    """A canonical text with the letters of each word once and in order; values stay as they are."""
-    return " ".join(w if w[0] == "@" else "".join(sorted(set(w))) for w in text.split(" "))
+    return {"cls": batch.column("cls").take(at), "sides": batch.column("sides").take(at), "text": texts}
 
 
 @lru_cache(100_000)
@@ -54,7 +62,7 @@ def _marks(batch: pa.RecordBatch) -> dict:
     for word in batch.column("word").to_pylist():
         if len(word) < 3 or word[0] == "@" or any(c.isdigit() for c in word):
             continue
-        letters = [_letter(c) for c in outline(word)]
+        letters = [_letter(c) for c in set(word)]
         whole = sum(letters)
         less = {whole - x for x in letters} | {whole - x - y for i, x in enumerate(letters) for y in letters[:i]}
         for mark in {whole} | less:
@@ -80,122 +88,296 @@ def slip_groups(words: DataFrame) -> DataFrame:
     return connected_components(slipped.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
 
 
-def _variants(word: str) -> set[str]:
-    """A word's outline and what is left of it without one or two letters; two outlines that slips set apart have one in common."""
-    if word[:1] == "@":
-        return {word}
-    one = {word[:i] + word[i + 1 :] for i in range(len(word))}
-    return {word} | one | {w[:i] + w[i + 1 :] for w in one for i in range(len(w))}
+@lru_cache(200_000)
+def _hash(word: str) -> int:
+    """The hash that Spark's xxhash64 gives."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+
+
+def _tokens_sent(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """The texts with their tokens, by the table of groups in every task."""
+    rows = groups.select("id", "component").toPandas().sort_values("id")
+    sent = texts.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(np.int64), rows["component"].to_numpy(np.int64)))
+
+    def make():
+        known, of = sent.value
+
+        def f(batch: pa.RecordBatch) -> dict:
+            words = [t.split(" ") for t in batch.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, words)])
+            h = np.array([_hash(w) for own in words for w in own], dtype=np.uint64).view(np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                h = np.where(known[at] == h, of[at], h)
+            return {c: batch.column(c) for c in ("cls", "sides", "text")} | {"tokens": pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(h))}
+
+        return f
+
+    return arrow_map(texts, make, "cls long, sides int, text string, tokens array<bigint>")
+
+
+def _tokens_joined(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """The same by a shuffle of the words' hashes."""
+    words = texts.select("cls", F.posexplode(F.split("text", " ")).alias("pos", "word")).select("cls", "pos", F.xxhash64("word").alias("id"))
+    of = words.join(groups, "id", "left").select("cls", F.struct("pos", F.coalesce("component", "id").alias("t")).alias("p"))
+    lists = of.groupBy("cls").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p.t).alias("tokens"))
+    return texts.join(lists, "cls").select("cls", "sides", "text", "tokens")
+
+
+def _keys(batch: pa.RecordBatch) -> dict:
+    """Keys of growing length that the same requests share: of the values; also of the number of words and the lowest token; of all tokens in order.
+    Tokens become those of 32 bits, told apart from others of the same part in the end by the words themselves."""
+    out: dict[str, list] = {"key_1": [], "key_2": [], "key_3": [], "tokens": []}
+    for text, own in zip(batch.column("text").to_pylist(), batch.column("tokens").to_pylist()):
+        t = np.sort(np.array(own, dtype=np.int64).view(np.uint64))
+        values = " ".join(w for w in text.split(" ") if w[0] == "@")
+        first = np.uint64(_hash(values))
+        short = mix(np.array([first ^ np.uint64(len(t)), t[0]], dtype=np.uint64)).sum(dtype=np.uint64)
+        whole = mix(t * np.arange(1, 2 * len(t), 2, dtype=np.uint64)).sum(dtype=np.uint64)
+        for k, v in (("key_1", first), ("key_2", short), ("key_3", mix(np.array([whole ^ first], dtype=np.uint64))[0])):
+            out[k].append(int(v.view(np.int64)))
+        out["tokens"].append(np.array(own, dtype=np.int64).view(np.uint64).astype(np.uint32).view(np.int32))
+    return {c: batch.column(c) for c in ("cls", "sides", "text")} | out
+
+
+def _parts(texts: DataFrame, most: int) -> DataFrame:
+    """cls, sides, text, tokens, part, block, other: the texts with their part. block is a text's own block and other the one it meets there;
+    both are 0 but in a part that no key splits, whose texts are in as many parts as there are blocks."""
+    keyed = cut(arrow_map(texts, lambda: _keys, "cls long, sides int, text string, key_1 long, key_2 long, key_3 long, tokens array<int>"))
+    levels = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.col(f"key_{k}").alias("key")) for k in (1, 2, 3))))
+    # keys of more than `most` texts: at most a row for so many texts
+    large = cut(keyed.select(levels.alias("l")).groupBy("l.level", "l.key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most))
+    out = keyed
+    for k in (1, 2, 3):
+        out = out.join(large.where(F.col("level") == k).select(F.col("key").alias(f"key_{k}"), F.col("n").alias(f"n_{k}")), f"key_{k}", "left")
+    blocks = F.when(F.col("n_3").isNotNull() & F.col("n_2").isNotNull() & F.col("n_1").isNotNull(), F.ceil(F.col("n_3") * 2 / most)).otherwise(1).cast("int")
+    out = out.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.when(F.col("n_1").isNull(), F.struct(F.lit(1).alias("k"), F.col("key_1").alias("v"))).when(F.col("n_2").isNull(), F.struct(F.lit(2).alias("k"), F.col("key_2").alias("v"))).otherwise(F.struct(F.lit(3).alias("k"), F.col("key_3").alias("v")))
+    part = F.xxhash64(key, F.least("block", "other"), F.greatest("block", "other"))
+    return out.select("cls", "sides", "text", "tokens", part.alias("part"), "block", "other")
+
+
+class SuffixArray:
+    """The sorted suffixes of concatenated texts of tokens; a suffix ends with its text.
+
+    Ranks by the first 1, 2, 4, ... tokens are kept; they give the longest common prefix of any two suffixes.
+    """
+
+    def __init__(self, tokens: np.ndarray, offsets: np.ndarray):
+        self.offsets, n = offsets, len(tokens)
+        self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        self.left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)  # tokens from here to the text's end
+        rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
+        self.ranks, size, distinct = [rank], 1, int(rank.max(initial=0))
+        while True:
+            after = np.where(self.left > size, np.concatenate((rank[size:], np.zeros(min(size, n), np.int64)))[:n], 0)
+            rank = np.unique(rank * (distinct + 1) + after, return_inverse=True)[1].astype(np.int64) + 1
+            if int(rank.max(initial=0)) == distinct:
+                break
+            size, distinct = 2 * size, int(rank.max(initial=0))
+            self.ranks.append(rank)
+        self.order = np.argsort(rank, kind="stable")
+
+    def common_prefix(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of the suffixes at i and j, pair by pair."""
+        equal = self.ranks[-1][i] == self.ranks[-1][j]  # wholly, for the last ranks tell any two suffixes apart
+        got = np.where(equal, self.left[i], 0)
+        last = len(self.left) - 1
+        for k in range(len(self.ranks) - 2, -1, -1):
+            room = np.minimum(self.left[i], self.left[j]) - got >= 1 << k
+            a, b = np.minimum(i + got, last), np.minimum(j + got, last)
+            got += np.where(room & (self.ranks[k][a] == self.ranks[k][b]), 1 << k, 0)
+        return got
+
+
+def _nearest(known: np.ndarray) -> np.ndarray:
+    """For each place of the order the last one before it where `known` holds; -1 without one."""
+    at = np.maximum.accumulate(np.where(known, np.arange(len(known)), -1))
+    return np.concatenate(([-1], at[:-1])) if len(at) else at
+
+
+def spans(array: SuffixArray, sides: np.ndarray) -> np.ndarray:
+    """For each position the longest prefix that its suffix shares with one of another text of another split.
+
+    sides: bits of the splits that each text has. Of all suffixes of a split the nearest ones in the order, on either side, have the longest prefix in common.
+    """
+    out = np.zeros(len(array.text), dtype=np.int64)
+    for order in (array.order, array.order[::-1]):
+        text = array.text[order]
+        own = sides[text]
+        new = np.concatenate(([True], text[1:] != text[:-1])) if len(text) else np.zeros(0, bool)
+        before = np.maximum.accumulate(np.where(new, np.arange(len(text)), 0)) - 1  # the last place of another text
+        near = np.where(own == 3, before, np.where(own == 1, _nearest((own & 2) > 0), _nearest((own & 1) > 0)))
+        has = np.flatnonzero(near >= 0)
+        i, j = order[has], order[near[has]]
+        out[i] = np.maximum(out[i], array.common_prefix(i, j))
+    return out
 
 
-def _pairs(group: list[tuple], members: list[tuple[int, int]], found: set[tuple[int, int]]) -> None:
-    """Adds the pairs of a group's suffixes that may go on alike; members are (index, where its next word begins).
+def coverage(array: SuffixArray, lengths: np.ndarray, least: int = 1) -> np.ndarray:
+    """For each text the share of its tokens that lie in spans (of these lengths from each position) of `least` tokens or more."""
+    at = np.arange(len(lengths))
+    reach = np.where(lengths >= least, at + lengths, 0)
+    # spans end with their text, so none reaches into the next one
+    covered = np.maximum.accumulate(reach) > at if len(at) else np.zeros(0, bool)
+    sums = np.concatenate(([0], np.cumsum(covered)))
+    return (sums[array.offsets[1:]] - sums[array.offsets[:-1]]) / np.maximum(np.diff(array.offsets), 1)
 
-    A small group gives all its pairs. In a larger one, which a common beginning of many requests makes, suffixes meet only if their
-    next words are the same but for slips, and again at the word after it, until few are left or the texts are all the same.
+
+def candidates(array: SuffixArray, sides: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of texts (held out, training) of equally many tokens, both wholly covered, that may be the same request.
+
+    A text meets those that have a suffix in the narrowest of its intervals: the suffixes that begin with one of its tokens, in the order
+    all together. Whoever has the same tokens has one there.
     """
-    if len(members) <= FEW:
-        found.update((i, j) for k, (i, _) in enumerate(members) for j, _ in members[k + 1 :])
-        return
-    by: dict[str, list[tuple[int, int]]] = {}
-    ended = []
-    for i, at in members:
-        suffix = group[i][5]
-        if at >= len(suffix):
-            ended.append(i)
-            continue
-        end = suffix.find(" ", at)
-        end = len(suffix) if end < 0 else end
-        for v in _variants(suffix[at:end]):
-            by.setdefault(v, []).append((i, end + 1))
-    found.update((i, j) for k, i in enumerate(ended) for j in ended[k + 1 :])
-    done = set()
-    for own in by.values():
-        key = tuple(own)
-        if len(own) > 1 and key not in done:
-            done.add(key)
-            _pairs(group, own, found)
-
-
-def _cover(spans: list[tuple[int, int]], size: int) -> float:
-    """Share of a circle of `size` characters that the spans (begin, length) cover."""
-    pieces = [p for b, n in spans for p in ([(b, b + n)] if b + n <= size else [(b, size), (0, min(b, b + n - size))])]
-    total = end = 0
-    for b, e in sorted(pieces):
-        total += max(0, e - max(b, end))
-        end = max(end, e)
-    return total / size
-
-
-def _covered(x: str, y: str) -> float:
-    """Share of outline x that lies in words which y has too, however few follow each other."""
-    there, spans, at = set(y.split(" ")), [], 0
-    for w in x.split(" "):
-        if w in there:
-            spans.append((at, len(w) + 1))
-        at += len(w) + 1
-    return _cover(spans, at)
-
-
-def _same(batch: pa.RecordBatch) -> dict:
-    def form(text: str) -> tuple[list[str], list[str]]:
-        words = text.split(" ")
-        return [w for w in words if w[0] == "@"], [w for w in words if w[0] != "@"]
-
-    texts = list(zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()))
-    keep = [same_request(form(x), form(y)) for x, y in texts]
-    outlines = [(outline(x), outline(y)) for (x, y), same in zip(texts, keep) if same]
-    kept = pa.array(keep, type=pa.bool_())
-    return {c: batch.column(c).filter(kept) for c in ("a", "b")} | {"cover_a": [_covered(x, y) for x, y in outlines], "cover_b": [_covered(y, x) for x, y in outlines]}
-
-
-def cross_split(df: DataFrame, id_col: str, prompt_col: str, split_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
-    """(members: id, split, source, cls; links: a, b, cover_a, cover_b) of prompts that occur on both sides.
-
-    Members of one class have the same canonical text; a link joins two classes a < b of the same request with slips. A class or a link
-    matters where one side is a training split and the other a held-out one. Rows without an id or a split, with another split, or
-    with a null, empty or wordless prompt are in neither. Rows repeated under one id are members again. Sources may be null.
-    Empty tables give empty results.
+    first, size = array.ranks[0], np.diff(array.offsets)
+    use = whole[array.text] & ((sides[array.text] & 1) > 0)
+    mine = array.order[use[array.order]]  # training suffixes in their order, so those of one token lie together
+    n_ranks = int(first.max(initial=0)) + 1
+    width = np.bincount(first[mine], minlength=n_ranks)
+    begin = np.concatenate(([0], np.cumsum(width)))
+    held = np.flatnonzero(whole & ((sides & 2) > 0) & (size > 0))
+    if not len(held) or not len(mine):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    widths = width[first].astype(np.int64)
+    low = np.minimum.reduceat(widths, array.offsets[:-1][size > 0])
+    lowest = np.zeros(len(size), dtype=np.int64)
+    lowest[size > 0] = low
+    at = np.flatnonzero(widths == lowest[array.text])
+    place = np.full(len(size), -1)
+    place[array.text[at][::-1]] = at[::-1]  # the first of the narrowest
+    rank = first[place[held]]
+    n = width[rank]
+    x = np.repeat(held, n)
+    y = array.text[mine[np.repeat(begin[rank], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]]
+    keep = (x != y) & (size[x] == size[y])
+    pairs = np.unique(np.stack((x[keep], y[keep])), axis=1)
+    return pairs[0], pairs[1]
+
+
+def _cover(x: np.ndarray, y: np.ndarray) -> float:
+    """Share of x's tokens in spans of LONG tokens or more (all of them, in shorter texts) that y has too."""
+    n = min(LONG, len(x), len(y))
+    there = {tuple(y[i : i + n]) for i in range(len(y) - n + 1)}
+    covered = np.zeros(len(x), dtype=bool)
+    for i in range(len(x) - n + 1):
+        if tuple(x[i : i + n]) in there:
+            covered[i : i + n] = True
+    return float(covered.mean())
+
+
+def _form(text: str) -> tuple[list[str], list[str]]:
+    words = text.split(" ")
+    return [w for w in words if w[0] == "@"], [w for w in words if w[0] != "@"]
+
+
+def _same_in(rows: list[tuple]) -> Iterator[tuple]:
+    """(a, b, cover_a, cover_b) of the same requests among whole parts of rows (part, cls, sides, block, other, text, tokens)."""
+    tokens = np.concatenate([r[6].view(np.uint32).astype(np.uint64) for r in rows])
+    offsets = np.concatenate(([0], np.cumsum([len(r[6]) for r in rows])))
+    part = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
+    # tokens of different parts are different ones
+    array = SuffixArray(mix(tokens ^ mix(np.repeat(part, np.diff(offsets)))), offsets)
+    sides = np.array([r[2] for r in rows], dtype=np.int64)
+    whole = coverage(array, spans(array, sides)) == 1
+    forms: dict[int, tuple] = {}
+    for x, y in zip(*map(np.ndarray.tolist, candidates(array, sides, whole))):
+        if x > y and sides[x] == sides[y] == 3:
+            continue  # met the other way round too
+        a, b = rows[x], rows[y]
+        if a[3] == b[3] and a[3] != a[4]:
+            continue  # two texts of one block meet in the part of that block alone
+        for k in (x, y):
+            if k not in forms:
+                forms[k] = _form(rows[k][5])
+        if same_request(forms[x], forms[y]):
+            if a[1] > b[1]:
+                a, b = b, a
+            yield a[1], b[1], _cover(a[6], b[6]), _cover(b[6], a[6])
+
+
+def _links():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("part", "cls", "sides", "block", "other", "text", "tokens")
+        kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cover_a", pa.float64()), ("cover_b", pa.float64())])
+        rows: list[tuple] = []
+        size = begin = 0  # tokens, and where the last part begins
+
+        def done(some: list[tuple]) -> pa.RecordBatch:
+            found = list(_same_in(some))
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], type=t.type) for k, t in enumerate(kinds)], schema=kinds)
+
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in names[:-1]]
+            for *row, tokens in zip(*cols, batch.column("tokens")):
+                if rows and row[0] != rows[-1][0]:
+                    begin = len(rows)
+                    if size >= AT_ONCE:
+                        yield done(rows)
+                        rows, size, begin = [], 0, 0
+                rows.append((*row, np.array(tokens.values, dtype=np.int32)))
+                size += len(rows[-1][6])
+        if rows:
+            yield done(rows)
+
+    return run
+
+
+def cross_split(df: DataFrame, id_col: str, prompt_col: str, split_col: str, source_col: str, part: int = PART, most_sent: int = MOST_SENT) -> tuple[DataFrame, DataFrame]:
+    """(members: id, split, source, side, cls, sides; links: a, b, cover_a, cover_b) of prompts that occur on both sides.
+
+    Members of one class have the same prompt, letter by letter; a link joins two classes a < b of the same request, one with a training row
+    and the other with a held-out one. cover_a is the share of a's tokens in spans of `LONG` or more that b has too. Rows without
+    an id or a split, with another split, or with a null, empty or wordless prompt are in no link, nor in a class of both sides.
+    Rows repeated under one id are members once for each split and source. Sources may be null. Empty tables give empty results.
     """
     side = F.when(F.col("split").isin(*TRAIN), 1).when(F.col("split").isin(*HELD_OUT), 2)
     rows = df.select(df[id_col].alias("id"), df[prompt_col].alias("prompt"), df[split_col].alias("split"), df[source_col].alias("source"))
-    rows = rows.where("id is not null and prompt is not null").where(side.isNotNull())
-    records = cut(arrow_map(rows, lambda: _canonical, "id long, split string, source string, text string").withColumn("side", side))
-    classes = records.groupBy("text").agg(F.min("id").alias("cls"), F.bit_or("side").alias("sides"))
+    rows = rows.where("id is not null and prompt is not null").where(side.isNotNull()).withColumn("side", side).withColumn("digest", F.unhex(F.md5("prompt")))
+    classes = rows.groupBy("digest").agg(F.min("id").alias("cls"), F.bit_or("side").alias("sides"), F.first("prompt").alias("prompt"))
     classes = cut(classes)
-    classes = classes.withColumn("own", F.xxhash64("text"))
-    words = classes.select("cls", "own", "sides", F.explode(F.split("text", " ")).alias("word"))
-    grouped = words.select("cls", "own", "sides", F.xxhash64("word").alias("id")).join(slip_groups(words.select("word")), "id", "left")
-    # a sum doesn't depend on the order of words; other words of the same sum are told apart below
-    keys = cut(grouped.groupBy("cls", "own", "sides").agg(F.sum(F.coalesce("component", "id").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("n_words")))
-    a, b = (keys.select("sum", "n_words", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "own", "sides"))) for x in "ab")
-    pairs = a.join(b, ["sum", "n_words"]).where((F.col("cls_a") < F.col("cls_b")) & (F.col("sides_a").bitwiseOR(F.col("sides_b")) == 3))
-    for x in "ab":
-        pairs = pairs.join(classes.select(F.col("cls").alias(f"cls_{x}"), F.col("own").alias(f"own_{x}"), F.col("text").alias(f"text_{x}")), [f"cls_{x}", f"own_{x}"])
-    links = arrow_map(pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "text_a", "text_b"), lambda: _same, "a long, b long, cover_a double, cover_b double")
-    members = records.join(classes.select("text", "cls", "sides"), "text").select("id", "split", "source", "side", "cls", "sides")
-    return members, links
-
-
-def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each pair of a training row (id_t, source_t) and a held-out row (id_h, split_h, source_h) of the same request, with the share
-    of the held-out text that lies in words of both, their letters once and in order."""
+    texts = cut(arrow_map(classes.select("cls", "sides", "prompt"), lambda: _canonical, "cls long, sides int, text string"))
+    groups = cut(slip_groups(texts.select(F.explode(F.split("text", " ")).alias("word"))))
+    tokens = _tokens_sent(texts, groups) if groups.count() <= most_sent else _tokens_joined(texts, groups)
+    parts = _parts(tokens, part).repartition("part").sortWithinPartitions("part")
+    links = parts.select("part", "cls", "sides", "block", "other", "text", "tokens").mapInArrow(_links(), "a long, b long, cover_a double, cover_b double")
+    members = rows.select("id", "split", "source", "side", "digest").distinct().join(classes.select("digest", "cls", "sides"), "digest").join(texts.select("cls"), "cls", "left_semi")
+    return members.select("id", "split", "source", "side", "cls", "sides"), links
+
+
+def _calendar(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Members, and pairs of classes (cls_t, cls_h, cover of the held-out one), a class with rows of both sides among them."""
     members, links = cross_split(table(spark, sf_dir, "sft_calendar_v2"), "pair_id", "prompt", "split", "source")
     members, links = cut(members), cut(links)
-    train = members.where("side = 1").select(F.col("cls").alias("cls_t"), F.col("id").alias("id_t"), F.col("source").alias("source_t"))
-    held = members.where("side = 2").select(F.col("cls").alias("cls_h"), F.col("id").alias("id_h"), F.col("split").alias("split_h"), F.col("source").alias("source_h"))
     both = links.select(F.col("a").alias("cls_t"), F.col("b").alias("cls_h"), F.col("cover_b").alias("cover")).unionByName(links.select(F.col("b").alias("cls_t"), F.col("a").alias("cls_h"), F.col("cover_a").alias("cover")))
     equal = members.where("sides = 3").select(F.col("cls").alias("cls_t")).distinct().select("cls_t", F.col("cls_t").alias("cls_h"), F.lit(1.0).alias("cover"))
-    return both.unionByName(equal).join(train, "cls_t").join(held, "cls_h").select("id_t", "source_t", "id_h", "split_h", "source_h", "cover")
+    return members, both.unionByName(equal)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pair_id_a < pair_id_b of each training row and held-out row whose prompts make the same request."""
-    return overlaps(spark, sf_dir).select(F.least("id_t", "id_h").alias("pair_id_a"), F.greatest("id_t", "id_h").alias("pair_id_b")).distinct()
+    members, pairs = _calendar(spark, sf_dir)
+    train = members.where("side = 1").select(F.col("cls").alias("cls_t"), F.col("id").alias("id_t")).distinct()
+    held = members.where("side = 2").select(F.col("cls").alias("cls_h"), F.col("id").alias("id_h")).distinct()
+    rows = pairs.join(train, "cls_t").join(held, "cls_h").where("id_t != id_h")
+    return rows.select(F.least("id_t", "id_h").alias("pair_id_a"), F.greatest("id_t", "id_h").alias("pair_id_b")).distinct()
 
 
 def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each held-out split, its source and the training source: pairs, and held-out and training rows in them."""
-    found = overlaps(spark, sf_dir).groupBy("split_h", "source_h", "source_t")
-    counts = found.agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("id_h").alias("n_held_out"), F.countDistinct("id_t").alias("n_train"), F.round(F.avg("cover"), 4).alias("mean_cover"))
-    return counts.withColumnsRenamed({"split_h": "split", "source_h": "source", "source_t": "train_source"})
+    """For each held-out split, its source and the training source: pairs, held-out and training rows in them, and the pairs' mean coverage.
+
+    Counted from the sizes of classes; the pairs of records are never made.
+    """
+    members, pairs = _calendar(spark, sf_dir)
+    train = members.where("side = 1").groupBy(F.col("cls").alias("cls_t"), F.col("source").alias("train_source")).agg(F.count(F.lit(1)).alias("n_t"))
+    held = members.where("side = 2").groupBy(F.col("cls").alias("cls_h"), "split", "source").agg(F.count(F.lit(1)).alias("n_h"))
+    sized = cut(pairs.join(train, "cls_t").join(held, "cls_h"))
+    by = ("split", "source", "train_source")
+    n = F.col("n_t") * F.col("n_h")
+    counts = sized.groupBy(*by).agg(F.sum(n).alias("n_pairs"), F.round(F.sum(F.col("cover") * n) / F.sum(n), 4).alias("mean_cover"))
+    # a class counts once for each of the three, however many it is linked to
+    held_rows = sized.groupBy("cls_h", *by).agg(F.first("n_h").alias("n")).groupBy(*by).agg(F.sum("n").alias("n_held_out"))
+    train_rows = sized.groupBy("cls_t", *by).agg(F.first("n_t").alias("n")).groupBy(*by).agg(F.sum("n").alias("n_train"))
+    out = counts.alias("c").join(held_rows.alias("h"), [F.col(f"c.{k}").eqNullSafe(F.col(f"h.{k}")) for k in by]).join(train_rows.alias("t"), [F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in by])
+    return out.select(*(F.col(f"c.{k}").alias(k) for k in by), "n_pairs", "n_held_out", "n_train", "mean_cover")

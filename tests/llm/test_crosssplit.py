@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,8 +61,8 @@ def corpus():
     return rows + [(1000, None, "train", "x"), (1001, "", "val", "x"), (1002, "...", "test", "x"), rows[0], (None, rows[0][1], "train", "x"), (1003, BASE + " parola" * 4000, "train", "x"), (1004, BASE + " parola" * 4000 + ".", "val", "x")]
 
 
-def pairs(df):
-    members, links = crosssplit.cross_split(df, "rec", "ask", "part", "origin")
+def pairs(df, **parameters):
+    members, links = crosssplit.cross_split(df, "rec", "ask", "part", "origin", **parameters)
     by = {}
     for r in members.collect():
         by.setdefault(r.cls, set()).add((r.id, r.side))
@@ -69,35 +70,45 @@ def pairs(df):
     return {(min(x, y), max(x, y)) for a, b in sides for x, s in by[a] for y, t in by[b] if s == 1 and t == 2}
 
 
-@pytest.mark.parametrize("few", [2, crosssplit.FEW])
-def test_matches_brute_force(clashing, monkeypatch, few):
-    monkeypatch.setattr(crosssplit, "FEW", few)  # reaches forked workers only where they start afterwards; see test_pairs
+@pytest.mark.parametrize(("part", "sent"), [(2, 10**6), (7, 0), (crosssplit.PART, 10**6)])
+def test_matches_brute_force(clashing, part, sent):
+    """Whatever the size of parts, and however the words' groups get to the texts."""
     rows = corpus()
-    got = pairs(clashing(rows, "rec long, ask string, part string, origin string"))
+    got = pairs(clashing(rows, "rec long, ask string, part string, origin string"), part=part, most_sent=sent)
     assert got == brute(rows) and len(got) > 50
 
 
-def test_pairs(monkeypatch):
-    """Pairs of a hot group, met word by word, hold all that slips set apart."""
-    monkeypatch.setattr(crosssplit, "FEW", 2)
-    texts = sorted({" ".join(canonical(r[1])[1]) for r in corpus() if r[1] and "tempo" in r[1].lower()})
-    group = [(k, 3, "", len(crosssplit.outline(t)) + 1, 0, crosssplit.outline(t) + " ", crosssplit.outline(t)[: crosssplit.LEAST]) for k, t in enumerate(texts)]
-    by = {}
-    for g in group:
-        by.setdefault(g[6], []).append(g)
-    for own in by.values():
-        found = set()
-        crosssplit._pairs(own, [(i, own[0][6].rfind(" ") + 1) for i in range(len(own))], found)
-        want = {(i, j) for i in range(len(own)) for j in range(i + 1, len(own)) if same_request(([], texts[own[i][0]].split()), ([], texts[own[j][0]].split()))}
-        assert want <= {tuple(sorted(p)) for p in found}
+def some_texts(r):
+    texts = [[r.randrange(r.choice([2, 4])) for _ in range(r.randint(1, r.choice([9, 40])))] for _ in range(r.randint(1, 8))]
+    texts += texts[: r.randint(0, 2)]
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    return texts, crosssplit.SuffixArray(np.array([t for own in texts for t in own], dtype=np.uint64), offsets)
 
 
-def test_nothing(clashing):
-    assert pairs(clashing([], "rec long, ask string, part string, origin string")) == set()
+def common(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
 
+def test_suffix_array():
+    r = random.Random(1)
+    for _ in range(100):
+        texts, array = some_texts(r)
+        suffixes = [tuple(t[i:]) for t in texts for i in range(len(t))]
+        assert [suffixes[i] for i in array.order] == sorted(suffixes)
+        i, j = (np.array([r.randrange(len(suffixes)) for _ in range(30)]) for _ in range(2))
+        assert array.common_prefix(i, j).tolist() == [common(suffixes[x], suffixes[y]) for x, y in zip(i, j)]
+        sides = np.array([r.choice([1, 2, 3]) for _ in texts])
+        across = lambda x, y: array.text[x] != array.text[y] and sides[array.text[x]] | sides[array.text[y]] == 3  # noqa: B023, E731
+        want = [max([common(s, t) for k, t in enumerate(suffixes) if across(i, k)], default=0) for i, s in enumerate(suffixes)]
+        got = crosssplit.spans(array, sides)
+        assert got.tolist() == want
+        for least in (1, 3):
+            covered = [{k for i, n in zip(range(a, b), want[a:b]) if n >= least for k in range(i, i + n)} for a, b in zip(array.offsets, array.offsets[1:])]
+            assert crosssplit.coverage(array, got, least).tolist() == [len(c) / len(t) for c, t in zip(covered, texts)]
 
-def test_cover():
-    assert crosssplit._cover([(0, 5), (3, 4)], 10) == 0.7 and crosssplit._cover([(8, 4)], 10) == 0.4 and crosssplit._cover([(0, 256)], 30) == 1
+
+def test_nothing(clashing):
+    assert pairs(clashing([], "rec long, ask string, part string, origin string")) == set()
 
 
 def test_queries(spark, sf):
@@ -129,6 +140,39 @@ def test_slips_in_many_words(clashing):
     assert pairs(clashing(rows, "rec long, ask string, part string, origin string")) == {(1, 2), (4, 5), (7, 8)}
 
 
-def test_cover_counts_every_word():
-    """No stretch is too short to count: words of both texts do, wherever they are."""
-    assert crosssplit._covered("aa bbb", "bbb cc aa") == 1 and crosssplit._covered("aa bbb", "cc aa") == 3 / 7 and crosssplit._covered("aa", "bb") == 0
+def test_one_request_in_many_writings(clashing):
+    """More writings of one request than a part holds, which no key splits; a class of copies on both sides among them."""
+    r = random.Random(6)
+    words = "segna in agenda la revisione del contratto di fornitura".split()
+    rows = []
+    for k in range(120):
+        r.shuffle(words)
+        rows.append((k, " ".join(words) + " il 3 marzo alle 9:00" + "!" * (k % 3), ("train", "val", "test")[k % 3], "x"))
+    rows += [(200, rows[0][1], "val", None), (201, rows[0][1], "train", None), (202, rows[0][1].replace("marzo", "aprile"), "val", None)]
+    assert pairs(clashing(rows, "rec long, ask string, part string, origin string"), part=8) == brute(rows)
+
+
+def test_phrases_shared_by_hundreds(clashing):
+    """Fillers with the same phrases as a true pair, whose last two phrases are exchanged: found however many there are."""
+    pair = [(0, "Segna la revisione del contratto con Ada Neri per la sede di Trarona", "train", "x"), (1, "Segna la revisione del contratto per la sede di Trarona con Ada Neri", "val", "x")]
+    fillers = [(10 + k, f"Segna la revisione del contratto con Ada Neri per la sede di {chr(97 + k % 26)}{chr(97 + k // 26)}opo", ("train", "val")[k % 2], "x") for k in range(400)]
+    rows = pair + fillers
+    got = pairs(clashing(rows, "rec long, ask string, part string, origin string"), part=32)
+    assert (0, 1) in got and got == brute(rows)
+
+
+def test_hashes_are_sparks(spark):
+    words = ["", "a", "perch\u00e9", "@d3/4", "x" * 100]
+    got = [x.h for x in spark.createDataFrame(list(enumerate(words)), "k int, w string").orderBy("k").select(F.xxhash64("w").alias("h")).collect()]
+    assert got == np.array([crosssplit._hash(w) for w in words], dtype=np.uint64).view(np.int64).tolist()
+
+
+def test_counts_from_class_sizes(spark, sf):
+    rows = {r.pair_id: r for r in spark.read.parquet(f"{sf}/sft_calendar_v2.parquet").collect()}
+    want = {}
+    for r in crosssplit.p2_found(spark, sf).collect():
+        t, h = sorted((rows[r.pair_id_a], rows[r.pair_id_b]), key=lambda x: x.split != "train")
+        n, held, train = want.setdefault((h.split, h.source, t.source), (0, set(), set()))
+        want[h.split, h.source, t.source] = (n + 1, held | {h.pair_id}, train | {t.pair_id})
+    got = {(r.split, r.source, r.train_source): (r.n_pairs, r.n_held_out, r.n_train) for r in crosssplit.p2_counts(spark, sf).collect()}
+    assert got == {k: (n, len(a), len(b)) for k, (n, a, b) in want.items()}
