@@ -12,6 +12,7 @@ No step depends on how many texts share a phrase, on the order of phrases or on
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -124,20 +125,23 @@ def _tokens_joined(texts: DataFrame, groups: DataFrame) -> DataFrame:
     return texts.join(lists, "cls").select("cls", "sides", "text", "tokens")
 
 
+_VALUES = re.compile(r"(?:@\S+(?: |\Z))*")
+
+
 def _keys(batch: pa.RecordBatch) -> dict:
     """Keys of growing length that the same requests share: of the values; also of the number of words and the lowest token; of all tokens in order.
     Tokens become those of 32 bits, told apart from others of the same part in the end by the words themselves."""
-    out: dict[str, list] = {"key_1": [], "key_2": [], "key_3": [], "tokens": []}
-    for text, own in zip(batch.column("text").to_pylist(), batch.column("tokens").to_pylist()):
-        t = np.sort(np.array(own, dtype=np.int64).view(np.uint64))
-        values = " ".join(w for w in text.split(" ") if w[0] == "@")
-        first = np.uint64(_hash(values))
-        short = mix(np.array([first ^ np.uint64(len(t)), t[0]], dtype=np.uint64)).sum(dtype=np.uint64)
-        whole = mix(t * np.arange(1, 2 * len(t), 2, dtype=np.uint64)).sum(dtype=np.uint64)
-        for k, v in (("key_1", first), ("key_2", short), ("key_3", mix(np.array([whole ^ first], dtype=np.uint64))[0])):
-            out[k].append(int(v.view(np.int64)))
-        out["tokens"].append(np.array(own, dtype=np.int64).view(np.uint64).astype(np.uint32).view(np.int32))
-    return {c: batch.column(c) for c in ("cls", "sides", "text")} | out
+    texts, lists = batch.column("text").to_pylist(), batch.column("tokens")
+    tokens, ends = np.asarray(lists.flatten()).view(np.uint64), np.cumsum([0, *lists.value_lengths().to_pylist()])
+    size = np.diff(ends)
+    values = np.array([_hash(_VALUES.match(t)[0].rstrip()) for t in texts], dtype=np.uint64)
+    own = tokens[np.lexsort((tokens, np.repeat(np.arange(len(size)), size)))]  # each text's in order
+    at = np.arange(len(own)) - np.repeat(ends[:-1], size)
+    whole = mix(np.add.reduceat(mix(own * (2 * at + 1).astype(np.uint64)), ends[:-1]) ^ values)
+    short = mix(mix(values ^ size.astype(np.uint64)) ^ own[ends[:-1]])
+    keys = {f"key_{k}": pa.array(v.view(np.int64)) for k, v in ((1, values), (2, short), (3, whole))}
+    few = pa.array(tokens.astype(np.uint32).view(np.int32))
+    return {c: batch.column(c) for c in ("cls", "sides", "text")} | keys | {"tokens": pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), few)}
 
 
 def _parts(texts: DataFrame, most: int) -> DataFrame:

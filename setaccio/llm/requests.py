@@ -19,6 +19,8 @@ POLITE = (
 #: Letters from which a word may have two slips.
 LONG = 7
 _POLITE = tuple(tuple(p.split()) for p in sorted(POLITE, key=lambda p: -len(p.split())))
+#: The places of the polite phrases that begin with a word, longer ones first.
+_BEGINNING = {w: [k for k, p in enumerate(_POLITE) if p[0] == w] for w in {p[0] for p in _POLITE}}
 
 _TIME_WORD = r"(?:d?all?e|d?all'|ore|h|per le|entro le|verso le)"
 _CLOCK = re.compile(r"(?<![\w/@])(\d{1,2})\s*(?:[:h]\s*|\s+e\s+)(\d{2})(?![\d/])")
@@ -30,6 +32,10 @@ _FIRST = re.compile(r"\b(?:primo|1°|1º)(?=\s+[a-z]{3})")
 _DAY = re.compile(r"(?:\b(?:il|del|per il|di)\s+(?:giorno\s+)?|\bgiorno\s+|\bl')(?=@d)")
 _NUMBERS = re.compile(r"(?<![@\d:/])\d[\d\s.\-/]*\d(?!\S*:)|\d+")
 _TOKEN = re.compile(r"@\S+|[^\W_]+")
+_CUT_VOWEL = re.compile(r"(?<=[aeiou])'(?=[\s?!.,;]|$)")
+_ORE, _TAIL, _VALUE = re.compile(r"\bore\s+(?=@t)"), re.compile(r"(@[dt][\d:/]*\d)\S*"), re.compile(r"(@[dt][\d:/]+)")
+_DIGIT, _NO_DIGIT = re.compile(r"\d"), re.compile(r"\D")
+_APOSTROPHES = str.maketrans({"\u2019": "'", "\u2018": "'", "`": "'"})
 
 
 def squeeze(word: str) -> str:
@@ -109,15 +115,19 @@ def _polite_words(word: str) -> frozenset[str]:
 
 
 def _drop_polite(words: list[str]) -> list[str]:
-    may = [_polite_words(w) for w in words]
+    may = list(map(_polite_words, words))
     if not any(may):
         return words
     out, i = [], 0
     while i < len(words):
-        n = next((len(p) for p in _POLITE if i + len(p) <= len(words) and may[i] and all(q in m for q, m in zip(p, may[i:]))), 0) if may[i] else 0
-        if not n:
+        for k in sorted(k for w in may[i] for k in _BEGINNING.get(w, ())):
+            n = len(_POLITE[k])
+            if n == 1 or i + n <= len(words) and all(q in m for q, m in zip(_POLITE[k], may[i:])):
+                i += n
+                break
+        else:
             out.append(words[i])
-        i += n or 1
+            i += 1
     return out
 
 
@@ -126,22 +136,37 @@ def _together(word: str) -> bool:
     return word == "con" or same_but_for_slip(word, "insieme")
 
 
-def canonical(prompt: str | None) -> tuple[list[str], list[str]]:
-    """(values: dates, times and numbers, in order; the other words, phrases of company last) of a request."""
-    if not prompt:
-        return [], []
-    t = fold(prompt).replace("\u2019", "'").replace("\u2018", "'").replace("`", "'")
-    t = " ".join(re.sub(r"(?<=[aeiou])'(?=[\s?!.,;]|$)", "", t).split())
-    t = _FIRST.sub("1", t)
+def _values(t: str) -> str:
+    """A folded text with its dates, times and numbers written as values."""
+    if "primo" in t or "1°" in t or "1º" in t:
+        t = _FIRST.sub("1", t)
     t = _NAMED.sub(_named, t)
-    t = _POINT_CLOCK.sub(lambda m: f"{m[1]}@t{int(m[2])}:{m[3]}", t)
+    if "." in t:
+        t = _POINT_CLOCK.sub(lambda m: f"{m[1]}@t{int(m[2])}:{m[3]}", t)
     t = _CLOCK.sub(lambda m: f"@t{int(m[1])}:{m[2]}" if int(m[1]) < 25 and int(m[2]) < 60 else m[0], t)
     t = _FULL.sub(_full, t)
     t = _HOUR.sub(lambda m: f"{m[1]}@t{int(m[2])}:00", t)
-    t = re.sub(r"\bore\s+(?=@t)", "", _DAY.sub("", t))
-    t = re.sub(r"(@[dt][\d:/]*\d)\S*", r" \1 ", t)
-    parts = re.split(r"(@[dt][\d:/]+)", t)
-    t = "".join(p if p[:1] == "@" else _NUMBERS.sub(lambda m: " @n" + re.sub(r"\D", "", m[0]) + " ", p) for p in parts)
+    if "@" in t:
+        t = _TAIL.sub(r" \1 ", _ORE.sub("", _DAY.sub("", t)))
+    if "@" not in t:
+        return _NUMBERS.sub(_number, t)
+    return "".join(p if p[:1] == "@" else _NUMBERS.sub(_number, p) for p in _VALUE.split(t))
+
+
+def _number(m: re.Match) -> str:
+    return " @n" + _NO_DIGIT.sub("", m[0]) + " "
+
+
+def canonical(prompt: str | None) -> tuple[list[str], list[str]]:
+    """(values: dates, times and numbers, in order; the other words, phrases of company last) of a request."""
+    if not prompt:
+        return [], []
+    t = fold(prompt).translate(_APOSTROPHES)
+    if "'" in t:
+        t = _CUT_VOWEL.sub("", t)
+    t = " ".join(t.split())
+    if _DIGIT.search(t) or "primo" in t or "@" in t:
+        t = _values(t)
     words = _drop_polite(_TOKEN.findall(t))
     values = sorted(w for w in words if w[0] == "@")
     groups, own = [], []
