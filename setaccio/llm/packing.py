@@ -1,9 +1,7 @@
 """Problem 7: filling windows of fixed capacity with texts, by best-fit decreasing.
 
-Each task packs its own share of the texts right after counting their tokens, so no text and no size is shuffled.
-Best fit looks for the tightest open window by a segment tree over remaining capacities, in logarithmic time per text.
-A share is at most `SHARE` texts; beside one packing of all texts it costs at most the one or two windows a share
-that best-fit decreasing leaves partly empty at its end, under 0.1 % at some thousand windows a share.
+Only ids and sizes are shuffled, to shares by a hash of id and text, so neither the layout of files nor the number of tasks changes the result.
+A share has about `SHARE` texts. Best fit looks for the tightest open window by a segment tree over remaining capacities, in logarithmic time per text.
 """
 
 from __future__ import annotations
@@ -16,10 +14,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import Encoder, vocabulary
-from .common import table
+from .common import arrow_map, table
 
-#: Texts that are packed together at most; a task with more packs several shares.
-SHARE = 50_000
+#: Texts that are packed together, about. Equal rows are in one share; of a share that so many of them make `MOST` times as large, parts are packed one after another.
+SHARE, MOST = 50_000, 4
 
 
 class OpenBins:
@@ -104,19 +102,27 @@ def pack(df: DataFrame, id_col: str, text_col: str, windows: list[tuple[int, int
     A text no longer than the capacity is one piece (0). A longer one is cut into full pieces, a bin each, and a rest that is packed
     like any text. Null and empty texts, and those without a token, are left out. Rows repeated under one id, or without an id,
     are items of their own. Windows whose capacity isn't positive are an error. bin_id is unique over a window_id;
-    no bin holds more than its capacity. An empty table gives no rows.
+    no bin holds more than its capacity. An empty table gives no rows. The result depends on the rows alone: of equal sizes the lower id comes first.
     """
     if any(c is None or c <= 0 for _, c in windows):
         raise ValueError("a window's capacity must be positive")
-    kind = df.schema[id_col].dataType
-    schema = f"window_id int, `{id_col}` {kind.simpleString()}, piece bigint, first_token bigint, n_tokens bigint, bin_id bigint"
+    kind = df.schema[id_col].dataType.simpleString()
+    schema = f"window_id int, `{id_col}` {kind}, piece bigint, first_token bigint, n_tokens bigint, bin_id bigint"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, base = Encoder(vocabulary_path), [TaskContext.get().partitionId() << 33] * len(windows)
-        ids: list = []
-        sizes: list[int] = []
+    def counted():
+        encoder = Encoder(vocabulary_path)
 
-        def packed() -> Iterator[pa.RecordBatch]:
+        def f(batch: pa.RecordBatch) -> dict:
+            n = pa.array([encoder.count(t) for t in batch.column("t").to_pylist()], type=pa.int64())
+            return {"k": batch.column("k"), "h": batch.column("h"), "n": n}
+
+        return f
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = [TaskContext.get().partitionId() << 33] * len(windows)
+        ids, sizes = [], []
+
+        def share_of() -> Iterator[pa.RecordBatch]:
             for k, window in enumerate(windows):
                 cols, bins = _pack(ids, np.array(sizes, dtype=np.int64), window, base[k])
                 base[k] += bins
@@ -126,16 +132,18 @@ def pack(df: DataFrame, id_col: str, text_col: str, windows: list[tuple[int, int
             sizes.clear()
 
         for batch in batches:
-            for key, text in zip(batch.column("k").to_pylist(), batch.column("t").to_pylist()):
-                if n := encoder.count(text):
-                    ids.append(key)
-                    sizes.append(n)
-            if len(sizes) >= share:
-                yield from packed()
+            ids += batch.column("k").to_pylist()
+            sizes += batch.column("n").to_pylist()
+            if len(sizes) >= MOST * share:
+                yield from share_of()
         if sizes:
-            yield from packed()
+            yield from share_of()
 
-    return df.select(df[id_col].alias("k"), df[text_col].alias("t")).where("t is not null and t != ''").mapInArrow(run, schema)
+    n_shares = max(1, -(-df.count() // share))
+    texts = df.select(df[id_col].alias("k"), df[text_col].alias("t")).where("t is not null and t != ''").withColumn("h", F.xxhash64("t"))
+    items = arrow_map(texts, counted, f"k {kind}, h long, n long").where("n > 0")
+    shares = items.repartitionById(n_shares, F.pmod(F.xxhash64("k", "h"), F.lit(n_shares)).cast("int")).sortWithinPartitions(F.desc("n"), "k", "h")
+    return shares.select("k", "n").mapInArrow(packed, schema)
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> list[tuple[int, int]]:
@@ -153,10 +161,10 @@ def p7_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each window: pieces, tokens, bins, the fewest bins that could hold the tokens, and the share of space used."""
-    windows = table(spark, sf_dir, "pack_windows").select("window_id", "capacity_tokens")
+    windows = table(spark, sf_dir, "pack_windows").select("window_id", "capacity_tokens")  # no more rows than _windows allows
     bins = p7_bins(spark, sf_dir).groupBy("window_id", "bin_id").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"))
     total = bins.groupBy("window_id").agg(F.sum("n_pieces").alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_bins"), F.max("n_tokens").alias("fullest"))
-    return total.join(F.broadcast(windows.limit(1000)), "window_id").select(
+    return total.join(F.broadcast(windows), "window_id").select(
         "window_id", "capacity_tokens", "n_pieces", "n_tokens", "n_bins", "fullest",
         F.ceil(F.col("n_tokens") / F.col("capacity_tokens")).alias("fewest_bins"),
         F.round(F.col("n_tokens") / (F.col("n_bins") * F.col("capacity_tokens")), 6).alias("fill"),

@@ -123,6 +123,20 @@ def test_packing(clashing, encoder, words, share):
     check_bins(rows, texts, windows, encoder)
 
 
+def test_packing_ignores_the_layout(clashing, words):
+    texts = [(k, " ".join(words(random.Random(k).randint(0, 60), k))) for k in range(120)] + [(5, "again the same id"), (None, "no id"), (None, "no id")]
+    df = clashing(texts, "doc long, text string")
+    one, other = (sorted(map(tuple, packing.pack(df.repartition(n), "doc", "text", [(1, 64), (2, 333)], PATH, 20).collect()), key=repr) for n in (1, 9))
+    assert one == other and len({r[5] >> 33 for r in one}) > 2
+
+
+def test_equal_rows_beyond_a_share(clashing, encoder):
+    texts = [(None, "una frase uguale")] * 100
+    rows = packing.pack(clashing(texts, "doc long, text string"), "doc", "text", [(1, 16)], PATH, 4).collect()
+    check_bins(rows, texts, [(1, 16)], encoder)
+    assert len(rows) == 100
+
+
 def test_packing_edges(spark):
     df = spark.createDataFrame([], "doc long, text string")
     assert packing.pack(df, "doc", "text", [(1, 8)], PATH).count() == 0
