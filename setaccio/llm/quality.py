@@ -22,6 +22,14 @@ MOST_SAMPLES = 20_000
 FEW = 4
 #: Lengths of the n-grams whose commonest is measured.
 NGRAMS = (2, 3, 4)
+#: Share of a text's letters that its commonest n-gram may hold before the text is the same over and over.
+MOST_COVERED = {2: 0.5, 3: 0.45, 4: 0.4}
+#: Words of the lines that sites put around their texts; a line of up to `FURNITURE_WORDS` words with two of them is boilerplate.
+FURNITURE = (
+    "cookie", "cookies", "biscotti", "javascript", "copyright", "privacy", "newsletter", "login", "homepage", "menu", "sito", "pagina", "iniziale", "archivio", "redazione", "commento", "commenti",
+    "condividi", "iscriviti", "accedi", "registrati", "clicca", "leggi", "torna", "diritti", "riservati", "notizie", "preferenze",
+)
+FURNITURE_WORDS = 14
 
 _ENDS = ".!?…:;»\"”’')"
 _STOPS = ".!?…"
@@ -37,7 +45,7 @@ INLINE = (" » ", " · ", " | ", " • ", " / ", "; ", ", ")
 
 STATISTICS = {
     "n_chars": "int", "n_words": "int", "n_lines": "int", "mean_word_length": "double", "symbol_ratio": "double", "digit_ratio": "double", "punctuated_lines": "double",
-    "common_words": "double", "known_trigrams": "double", "mixed_words": "double", "duplicate_lines": "double", "duplicate_paragraphs": "double",
+    "common_words": "double", "known_trigrams": "double", "mixed_words": "double", "duplicate_lines": "double", "n_paragraphs": "int", "duplicate_paragraphs": "double", "boilerplate": "double",
     "top_2gram": "double", "top_3gram": "double", "top_4gram": "double", "table_share": "double", "list_share": "double", "kind": "string",
 }
 
@@ -47,14 +55,20 @@ class Language:
 
     def __init__(self, common: list[str], samples: list[str]):
         self.common = np.unique(word_hashes([fold(w) for w in common])[0])
+        self.furniture = np.unique(word_hashes([fold(w) for w in FURNITURE])[0])
         self.letters = frozenset(w for w in map(fold, common) if len(w) == 1)
         self.known = np.zeros(1 << 15, dtype=bool)
         codes, _, inner = _trigrams([decompose(t) for t in [*samples, *common]])
         self.known[codes[inner]] = True
 
     def is_common(self, words: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.common, words), len(self.common) - 1)
-        return self.common[at] == words if len(self.common) else np.zeros(len(words), bool)
+        return _among(words, self.common)
+
+
+def _among(words: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each hash is one of the known, sorted ones."""
+    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+    return known[at] == words if len(known) else np.zeros(len(words), bool)
 
 
 _classes: list[np.ndarray] = []
@@ -107,18 +121,20 @@ def _top_coverage(words: np.ndarray, sizes: np.ndarray, offsets: np.ndarray, n:
     first = np.repeat(offsets[:-1] - at[:-1], np.diff(at)) + np.arange(len(grams))
     key = (doc.astype(np.uint64) << np.uint64(44)) | (grams >> np.uint64(20))
     order = np.argsort(key, kind="stable")
-    key, width = key[order], (cum[first + n] - cum[first])[order]
-    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    count = np.diff(np.append(edge, len(key)))
+    key, begin = key[order], first[order]
+    same = np.concatenate((key[1:] == key[:-1], [False]))
+    # an occurrence ends where the next one begins, so letters that two of them hold count once
+    end = np.where(same, np.minimum(begin + n, np.append(begin[1:], 0)), begin + n)
+    edge = np.flatnonzero(np.concatenate(([True], ~same[:-1])))
+    count, held = np.diff(np.append(edge, len(key))), np.add.reduceat(cum[end] - cum[begin], edge)
     total = np.maximum(cum[offsets[1:]] - cum[offsets[:-1]], 1)
     of = (key[edge] >> np.uint64(44)).astype(np.int64)
-    share = np.where(count > 1, count * width[edge] / total[of], 0.0)
-    np.maximum.at(out, of, np.minimum(share, 1.0))
+    np.maximum.at(out, of, np.where(count > 1, held / total[of], 0.0))
     return out
 
 
-def _table_share(raw: list[str], sizes: np.ndarray) -> float:
-    """Share of the characters that stand in rows of the same fields."""
+def _table_share(raw: list[str], sizes: np.ndarray, whole: int) -> float:
+    """Share of the text's characters (`whole`) that stand in rows of the same fields."""
     if len(raw) < 3:
         return 0.0
     best = 0.0
@@ -135,18 +151,18 @@ def _table_share(raw: list[str], sizes: np.ndarray) -> float:
             continue
         if most == 1 and sep == ";" and sum(bool(_SENTENCE.search(line)) for line in raw) * 2 > n:
             continue
-        best = max(best, float(sizes[rows].sum() / sizes.sum()))
+        best = max(best, min(1.0, float(sizes[rows].sum() / whole)))
     if text.count("  ") < 3:
         return best
     gaps = [len(_GAP.findall(line)) for line in raw]
     rows = np.array([g >= 1 for g in gaps])
     if rows.sum() >= 3 and sum(gaps) >= 1.5 * rows.sum() and sum(len(_GAP.split(line)) * 4 >= len(line.split()) for line in raw) * 2 > len(raw):
-        best = max(best, float(sizes[rows].sum() / sizes.sum()))
+        best = max(best, min(1.0, float(sizes[rows].sum() / whole)))
     return best
 
 
-def _list_share(lines: list[str], sizes: np.ndarray, words: np.ndarray, common: np.ndarray, letters: frozenset[str]) -> tuple[float, int, int]:
-    """(share of the characters that stand in items; items; sentences outside them, counted where it matters)."""
+def _list_share(lines: list[str], sizes: np.ndarray, words: np.ndarray, common: np.ndarray, letters: frozenset[str], boilerplate: np.ndarray) -> tuple[float, int, int]:
+    """(share of the characters that stand in items; items; sentences outside them, counted where it matters). Boilerplate is neither."""
     items = np.zeros(len(lines), dtype=bool)
     n_items = 0
     for i, line in enumerate(lines):
@@ -173,12 +189,12 @@ def _list_share(lines: list[str], sizes: np.ndarray, words: np.ndarray, common:
         if short.mean() >= 0.85 and words[rest].mean() <= 4.6 and common[rest].sum() <= 0.22 * words[rest].sum():
             items[rest] = True
             n_items += len(rest)
-    counted = np.array([items[i] or lines[i][-1] != ":" or words[i] > 8 for i in range(len(lines))])
+    counted = np.array([items[i] or not boilerplate[i] and (lines[i][-1] != ":" or words[i] > 8) for i in range(len(lines))])
     total = sizes[counted].sum()
     share = float(sizes[items].sum() / total) if total else 0.0
     if n_items < FEW or share >= 0.5:
         return share, n_items, 0
-    outside = [i for i in np.flatnonzero(~items).tolist() if lines[i][-1] != ":" and words[i] > 4]
+    outside = [i for i in np.flatnonzero(~items & ~boilerplate).tolist() if lines[i][-1] != ":" and words[i] > 4]
     return share, n_items, sum(max(1, len(_SENTENCE.findall(lines[i]))) for i in outside)
 
 
@@ -186,7 +202,9 @@ def _kind(s: dict, n_items: int, sentences: int) -> str:
     """The name of a text's kind by its statistics: prose, list, table or junk; blank if there is nothing to read."""
     if not s["n_chars"]:
         return "blank"
-    if s["n_lines"] >= 4 and s["duplicate_lines"] > 0.5 or s["n_words"] >= 12 and s["top_4gram"] > 0.4:
+    if s["n_lines"] >= 4 and s["duplicate_lines"] > 0.5 or s["n_paragraphs"] >= 4 and s["duplicate_paragraphs"] > 0.5:
+        return "junk"
+    if s["n_words"] >= 12 and any(s[f"top_{n}gram"] > most for n, most in MOST_COVERED.items()):
         return "junk"
     if s["table_share"] >= 0.5 and (s["known_trigrams"] >= 0.7 or s["digit_ratio"] >= 0.4):
         return "table"
@@ -201,9 +219,8 @@ def _kind(s: dict, n_items: int, sentences: int) -> str:
     return "prose"
 
 
-def describe(texts: list[str], language: Language, repetition: tuple[int, ...] = NGRAMS) -> list[dict]:
-    """The statistics of each text. repetition: lengths of the n-grams that are measured, of which only 4 matters for the kind; the others
-    are zero, and without 4 only repeated lines tell the same over and over."""
+def describe(texts: list[str], language: Language) -> list[dict]:
+    """The statistics of each text."""
     raws = [[x for x in t.splitlines() if x and not x.isspace()] for t in texts]
     lines = [[x.strip() for x in raw] for raw in raws]
     flat = [decompose(x) for own in lines for x in own]
@@ -211,10 +228,12 @@ def describe(texts: list[str], language: Language, repetition: tuple[int, ...] =
     words, word_at, sizes, digits = word_hashes(flat, details=True) if flat else (np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     mixed = (digits > 0) & (digits < sizes)
     common = _sums(language.is_common(words), word_at)
+    line_words = np.diff(word_at)
+    furniture = (_sums(_among(words, language.furniture), word_at) >= 2) & (line_words <= FURNITURE_WORDS)
     codes, code_at, inner = _trigrams(flat)
     known, letters = _sums(language.known[codes] & inner, code_at), _sums(inner, code_at)
     doc_at = word_at[line_at]
-    top = {n: _top_coverage(words, sizes, doc_at, n) if n in repetition else np.zeros(len(texts)) for n in NGRAMS}
+    top = {n: _top_coverage(words, sizes, doc_at, n) for n in NGRAMS}
     by_doc = {k: np.diff(np.concatenate(([0], np.cumsum(v)))[line_at]) for k, v in (("common", common), ("known", known), ("letters", letters))}
     n_words, n_mixed, n_alnum, n_digits = np.diff(doc_at), _sums(mixed, doc_at), _sums(sizes, doc_at), _sums(digits, doc_at)
     out = []
@@ -224,6 +243,8 @@ def describe(texts: list[str], language: Language, repetition: tuple[int, ...] =
         solid = sum(map(len, text.split()))
         n = int(n_words[k])
         paragraphs = [p for p in (x.strip() for x in _BLANK_LINE.split(text)) if p] if "\n" in text else []
+        boilerplate = furniture[a:b]
+        around = int(width[boilerplate].sum())
         s = {
             "n_chars": solid, "n_words": n, "n_lines": len(own),
             "mean_word_length": float(n_alnum[k] / n) if n else 0.0,
@@ -234,11 +255,12 @@ def describe(texts: list[str], language: Language, repetition: tuple[int, ...] =
             "known_trigrams": float(by_doc["known"][k] / by_doc["letters"][k]) if by_doc["letters"][k] else 0.0,
             "mixed_words": float(n_mixed[k] / n) if n else 0.0,
             "duplicate_lines": 1 - len(set(own)) / len(own) if own else 0.0,
+            "n_paragraphs": len(paragraphs), "boilerplate": around / int(width.sum()) if own else 0.0,
             "duplicate_paragraphs": 1 - len(set(paragraphs)) / len(paragraphs) if paragraphs else 0.0,
             "top_2gram": float(top[2][k]), "top_3gram": float(top[3][k]), "top_4gram": float(top[4][k]),
-            "table_share": _table_share(raw, width) if own else 0.0,
+            "table_share": _table_share(raw, width, max(1, int(width.sum()) - around)) if own else 0.0,
         }
-        s["list_share"], items, sentences = _list_share(own, width, np.diff(word_at[a : b + 1]), common[a:b], language.letters) if own else (0.0, 0, 0)
+        s["list_share"], items, sentences = _list_share(own, width, line_words[a:b], common[a:b], language.letters, boilerplate) if own else (0.0, 0, 0)
         s["kind"] = _kind(s, items, sentences)
         out.append(s)
     return out

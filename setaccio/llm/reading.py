@@ -239,7 +239,7 @@ def reading_levels(df: DataFrame, id_col: str, text_col: str, grader: Grader, it
                 clean = [plain(texts[i]) for i in own]
                 found = word_hashes(clean, details=True)
                 keep = np.flatnonzero(it.mainly(*found[:2]))
-                kinds = describe([texts[own[k]] for k in keep], model.language, repetition=(4,))
+                kinds = describe([texts[own[k]] for k in keep], model.language)
                 keep = [k for k, s in zip(keep, kinds) if s["kind"] == "prose"]
                 rows += [own[k] for k in keep]
                 grades.append(model.grade(clean, found)[keep])

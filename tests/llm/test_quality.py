@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from setaccio.llm import quality
@@ -45,6 +47,35 @@ def test_kind_doesnt_depend_on_the_block(language):
     assert kinds(texts, language) == [kinds([t], language)[0] for t in texts]
 
 
+def covered(text, n):
+    """Greatest share of a text's letters in the occurrences of one repeated n-gram, letters of two occurrences counted once."""
+    words = text.split()
+    grams = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+    share = {g: sum(len(words[k]) for k in {i + j for i, x in enumerate(grams) if x == g for j in range(n)}) for g in grams if grams.count(g) > 1}
+    return max(share.values(), default=0) / max(1, sum(map(len, words)))
+
+
+@pytest.mark.parametrize("n", quality.NGRAMS)
+def test_coverage_by_the_commonest_ngram(language, n):
+    r = random.Random(n)
+    texts = [" ".join(r.choice(["a", "bb", "ccc"]) for _ in range(r.randint(0, 30))) for _ in range(60)]
+    assert [s[f"top_{n}gram"] for s in quality.describe(texts, language)] == pytest.approx([covered(t, n) for t in texts])
+
+
+def test_a_repeated_word_in_prose(language):
+    assert kinds([PROSE + " lalala" * 8, PROSE + " ah" * 16, "ah " * 40], language) == ["prose", "prose", "junk"]
+
+
+def test_repeated_paragraphs_and_boilerplate():
+    paragraph = PROSE.replace(". ", ".\n")
+    footer = "Torna alla pagina iniziale oppure cerca nell'archivio.\nQuesto sito usa i cookie. Leggi le notizie della redazione."
+    language = quality.Language(COMMON, [PROSE, INTRO, footer, " ".join(ITEMS)])
+    assert kinds(["\n\n".join([paragraph] * 5), "\n\n".join([paragraph, PROSE]), PROSE + "\n" + footer], language) == ["junk", "prose", "prose"]
+    short = INTRO + ".\n" + "\n".join(f"- {x};" for x in ITEMS[:4]) + "\n" + footer
+    assert kinds([short], language) == ["list"]
+    assert 0.2 < quality.describe([PROSE + "\n" + footer], language)[0]["boilerplate"] < 0.5
+
+
 def test_statistics(language):
     (s,) = quality.describe(["Il gatto.\nIl gatto.\n\nuna b2 corda!!"], language)
     assert (s["n_words"], s["n_lines"], s["n_chars"]) == (7, 3, 28)
