@@ -8,6 +8,7 @@ each word's language, and runs of one language give the segments.
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 
@@ -177,17 +178,36 @@ def _runs(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _joined(label: np.ndarray) -> np.ndarray:
-    """Labels of one text after its short runs have joined the longer run beside them."""
-    while len(label) > LEAST_WORDS:
-        edge, size = _runs(label)
-        short = np.flatnonzero(size < LEAST_WORDS)
-        if len(edge) == 1 or not len(short):
+    """Labels of one text after its short runs, the shortest first, have joined the longer run beside them."""
+    if len(label) <= LEAST_WORDS:
+        return label
+    edge, lengths = _runs(label)
+    value, size, n = label[edge].tolist(), lengths.tolist(), len(edge)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    short = [(s, k) for k, s in enumerate(size) if s < LEAST_WORDS]
+    heapq.heapify(short)
+
+    def join(k: int, r: int) -> None:
+        size[k], size[r], after[k] = size[k] + size[r], 0, after[r]
+        if after[k] < n:
+            before[after[k]] = k
+
+    while short:
+        s, k = heapq.heappop(short)
+        if size[k] != s:
+            continue  # it has joined another or grown since
+        left, right = before[k], after[k]
+        if left < 0 and right >= n:
             break
-        k = int(short[size[short].argmin()])
-        left, right = (size[k - 1] if k else 0), (size[k + 1] if k + 1 < len(size) else 0)
-        label = label.copy()
-        label[edge[k] : edge[k] + size[k]] = label[edge[k] - 1] if left >= right else label[edge[k + 1]]
-    return label
+        value[k] = value[left] if left >= 0 and (right >= n or size[left] >= size[right]) else value[right]
+        if right < n and value[right] == value[k]:
+            join(k, right)
+        if left >= 0 and value[left] == value[k]:
+            join(left, k)
+            k = left
+        if size[k] < LEAST_WORDS:
+            heapq.heappush(short, (size[k], k))
+    return np.repeat(value, size)
 
 
 def segments(texts: list[str], languages: Languages) -> list[list[tuple]]:

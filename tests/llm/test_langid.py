@@ -1,5 +1,10 @@
 from __future__ import annotations
 
+import itertools
+import random
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +100,29 @@ def test_queries(spark, sf):
         own = records[r.rec_id]
         assert own.kind in ("prose", "list") and r.lang in own.langs.split() and (own.missing or own.mixed or own.wrong)
     assert langid.p3_segments(spark, sf).where("begin >= end or confidence < 0 or confidence > 1").count() == 0
+
+
+def slowly_joined(label):
+    label = list(label)
+    while len(label) > langid.LEAST_WORDS:
+        runs = [(k, len(list(g))) for k, g in itertools.groupby(label)]
+        k = min((i for i in range(len(runs)) if runs[i][1] < langid.LEAST_WORDS), key=lambda i: (runs[i][1], i), default=None)
+        if k is None or len(runs) == 1:
+            break
+        beside = [runs[j] for j in (k - 1, k + 1) if 0 <= j < len(runs)]
+        runs[k] = (max(beside, key=lambda r: r[1])[0], runs[k][1])
+        label = [v for v, n in runs for _ in range(n)]
+    return label
+
+
+def test_short_runs_join():
+    r = random.Random(3)
+    for _ in range(500):
+        label = [v for _ in range(r.randint(1, 12)) for v in [r.randrange(3)] * r.choice([1, 1, 2, 3, 5])]
+        assert langid._joined(np.array(label)).tolist() == slowly_joined(label)
+
+
+def test_a_million_words_in_short_runs():
+    label = np.tile([0, 0, 1, 2, 2], 200_000)
+    began = time.process_time()
+    assert len(langid._joined(label)) == 1_000_000 and time.process_time() - began < 60
