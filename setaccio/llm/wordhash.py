@@ -58,8 +58,9 @@ def _powers(n: int) -> np.ndarray:
     have = _tables.get("pow")
     if have is None or len(have) < n:
         size = max(64, 1 << (n - 1).bit_length())
-        have = np.ones(size, dtype=np.uint64)
-        np.multiply.accumulate(np.concatenate(([1], np.full(size - 1, _BASE, dtype=np.uint64))).astype(np.uint64), out=have)
+        factors = np.full(size, _BASE, dtype=np.uint64)
+        factors[0] = 1
+        have = np.multiply.accumulate(factors)
         _tables["pow"] = have
     return have
 

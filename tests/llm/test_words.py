@@ -49,3 +49,9 @@ def test_blocks_cover_all():
     texts = ["x" * n for n in (5, 50, 1, 0, 200, 3)]
     got = list(w.blocks(texts, 60))
     assert [i for a, b in got for i in range(a, b)] == list(range(6)) and list(w.blocks([])) == []
+
+
+def test_every_letter_of_a_word_counts():
+    """Words that differ in one place, however far from the beginning, have different hashes."""
+    words = ["giallo", "gialla", "affollato", "affollata", "restauro", "restauor"] + ["a" * k + c + "a" * (70 - k) for k in range(71) for c in "bcdefgh"]
+    assert len(set(w.word_hashes(words)[0].tolist())) == len(set(words))
