@@ -5,10 +5,16 @@ written once. Records with one and the same shingle set are a class, and only it
 never meet in a bucket. Each of the signature's bands is a 64-bit key of `ROWS` 16-bit minima; equal keys join.
 Candidates are verified by agreement of signatures and then exactly, on their texts; each of the two steps
 brings the data to the pairs in long form, so a table is shuffled once and not once a side.
+
+Groups don't need every pair. Each member of a bucket is first compared with the bucket's lowest alone, and what is similar is
+connected; only members of one bucket that are still in different groups are then compared with each other. So a family of texts that differ
+by small edits costs a row a member and bucket, not a row a pair, and no link between two groups is lost.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -25,6 +31,8 @@ VERIFIED = 16
 #: Standard deviations by which a signature's agreement may fall short of the threshold before a candidate goes.
 SLACK = 4.6
 _SEED = 20
+#: Records whose keys are looked at for hot buckets, and how many of them a hot one holds at least; its rows are dealt to SALTS tasks.
+SAMPLED, HOT, SALTS = 20_000, 200, 64
 
 
 def _family() -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +121,30 @@ def _beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
     return both.select("a", "b", F.col("x.v").alias("va"), F.col("y.v").alias("vb"))
 
 
+def _base(df: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, DataFrame]:
+    """(id and text of each row with an id; signatures of those with enough words)."""
+    docs = keyed(df, id_col, text_col)
+    return docs, cut(arrow_map(docs.where("c0 is not null"), _signatures(words), "id long, set_a long, set_b long, n int, sig array<bigint>"))
+
+
+def _keys(base: DataFrame) -> DataFrame:
+    """id, key of each band of each class's lowest record."""
+    classes = base.groupBy("set_a", "set_b", "n").agg(F.min(F.struct("id", "sig")).alias("m")).select("m.id", "m.sig")
+    return classes.select("id", F.explode("sig").alias("key"))
+
+
+def _members(base: DataFrame) -> DataFrame:
+    sets = base.select("id", "set_a", "set_b", "n")
+    lowest = sets.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("class_id"))
+    return sets.join(lowest, ["set_a", "set_b", "n"]).select("id", "class_id").distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, base: DataFrame, words: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) that are similar, with their similarity."""
+    likely = arrow_map(_beside(pairs, base.select("id", F.slice("sig", 1, VERIFIED).alias("v"))), _agreement(threshold), "a long, b long")
+    return cut(arrow_map(_beside(likely, docs.select("id", F.col("c0").alias("v"))), _exact(words, threshold), "a long, b long, similarity double"))
+
+
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(members, links) of texts whose sets of `words`-word sequences have a Jaccard similarity >= threshold.
 
@@ -123,16 +155,64 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, t
     words) and rows without an id are in neither table. Rows repeated under one id count once. Empty tables give
     empty results. A text is read whole whatever its length.
     """
-    docs = keyed(df, id_col, text_col)
-    base = cut(arrow_map(docs.where("c0 is not null"), _signatures(words), "id long, set_a long, set_b long, n int, sig array<bigint>"))
-    classes = base.groupBy("set_a", "set_b", "n").agg(F.min(F.struct("id", "sig")).alias("m")).select("m.id", "m.sig")
-    keys = classes.select("id", F.explode("sig").alias("key"))
+    docs, base = _base(df, id_col, text_col, words)
+    keys = _keys(base)
     pairs = keys.select(F.col("id").alias("a"), "key").join(keys.select(F.col("id").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
-    likely = arrow_map(_beside(pairs, base.select("id", F.slice("sig", 1, VERIFIED).alias("v"))), _agreement(threshold), "a long, b long")
-    links = cut(arrow_map(_beside(likely, docs.select("id", F.col("c0").alias("v"))), _exact(words, threshold), "a long, b long, similarity double"))
-    sets = base.select("id", "set_a", "set_b", "n")
-    lowest = sets.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("class_id"))
-    return sets.join(lowest, ["set_a", "set_b", "n"]).select("id", "class_id").distinct(), links
+    return _members(base), _verified(pairs, docs, base, words, threshold)
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, salt, id, hot) in order: each with the lowest id of its key and salt. Lone ones are left out, but for hot keys the lowest
+    comes too, as a tie to those of other salts."""
+    last = low = None
+    for batch in batches:
+        key, salt, ids, hot = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("key", "salt", "id", "hot"))
+        if not len(key):
+            continue
+        new = np.concatenate(([last != (key[0], salt[0])], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
+        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        lows = np.where(at >= 0, ids[at], low)
+        last, low = (key[-1], salt[-1]), lows[-1]
+        keep = ~new | hot
+        yield pa.RecordBatch.from_pydict({"key": key[keep], "low": lows[keep].astype(np.int64), "id": ids[keep], "tie": (new & hot)[keep]})
+
+
+def _buckets(keys: DataFrame, n_records: int) -> DataFrame:
+    """key, low, id of each record in a bucket of two or more but one, the lowest, whom the others have as low. Rows of a hot key are dealt to several
+    tasks, and the lowest of each joined to the lowest of all; whether a key counts as hot changes only where its rows go."""
+    some = keys.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n_records // SAMPLED))) == 0)
+    hot = [r[0] for r in some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT).select("key").collect()]  # at most BANDS * SAMPLED / HOT, about
+    known = keys.sparkSession.createDataFrame([(k, True) for k in hot], "key long, hot boolean")
+    rows = keys.join(F.broadcast(known), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int"))
+    dealt = rows.select("key", "salt", "id", "hot").repartition("key", "salt").sortWithinPartitions("key", "salt", "id")
+    found = cut(dealt.mapInArrow(_stars, "key long, low long, id long, tie boolean"))
+    ties = found.where("tie").select("key", "id")
+    lowest = ties.groupBy("key").agg(F.min("id").alias("low"))
+    return found.where("not tie").select("key", "low", "id").unionByName(ties.join(lowest, "key").where("id != low").select("key", "low", "id"))
+
+
+def near_groups(df: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """id, class_id, group_id of each record of enough words: its class as in near_duplicates, and the lowest class it is linked to in any number of steps.
+
+    Texts, ids and empty tables are taken as in near_duplicates.
+    """
+    docs, base = _base(df, id_col, text_col, words)
+    buckets = cut(_buckets(_keys(base), base.count()))
+    stars = cut(buckets.select(F.least("low", "id").alias("a"), F.greatest("low", "id").alias("b")).distinct())
+    first = _verified(stars, docs, base, words, threshold).select("a", "b")
+    groups = connected_components(first)
+    inside = buckets.select("key", "id").unionByName(buckets.select("key", F.col("low").alias("id"))).distinct()
+    placed = inside.join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("g"))
+    # buckets whose members are in one group by now, as those of a family of edited copies are, go no further
+    mixed = placed.groupBy("key").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 != g2").select("key")
+    placed = cut(placed.join(mixed, "key"))
+    a, b = (placed.select("key", F.col("id").alias(x), F.col("g").alias(f"g_{x}")) for x in "ab")
+    apart = a.join(b, "key").where("a < b and g_a != g_b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    second = _verified(apart, docs, base, words, threshold).select("a", "b")
+    groups = connected_components(first.unionByName(second))
+    out = _members(base).join(groups.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
+    return out.select("id", "class_id", F.coalesce("component", "class_id").alias("group_id"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,10 +228,6 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per record with a text of three words or more: its class of equal sequences, the group of records it is
-    linked to over any number of steps, and its class's number of links to other classes."""
-    members, links = near_duplicates(table(spark, sf_dir, "culturax_it_ppl95"), "rec_id", "text", 3, 0.6)
-    groups = connected_components(links.select("a", "b"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
-    out = members.join(groups.withColumnRenamed("id", "class_id"), "class_id", "left").join(degree, "class_id", "left")
-    return out.select(F.col("id").alias("rec_id"), "class_id", F.coalesce("component", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    """One row per record with a text of three words or more: its class of equal sequences, and the group of records it is
+    linked to over any number of steps."""
+    return near_groups(table(spark, sf_dir, "culturax_it_ppl95"), "rec_id", "text", 3, 0.6).withColumnRenamed("id", "rec_id")

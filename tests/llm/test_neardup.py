@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import random
 
+import pytest
 from test_words import tokens
 
 from setaccio.llm import components, neardup
@@ -82,6 +83,48 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def components_of(pairs, ids):
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("hot", [3, neardup.HOT])
+def test_groups_match_brute_force(clashing, words, monkeypatch, hot):
+    """Whether or not keys are dealt to several tasks."""
+    monkeypatch.setattr(neardup, "HOT", hot)
+    docs = corpus(words)
+    df = clashing(docs, "rec long, text string")
+    for n, threshold in ((3, 0.6), (5, 0.8)):
+        got = {r.id: r.group_id for r in neardup.near_groups(df, "rec", "text", n, threshold).collect()}
+        ids = {i for i, t in docs if i is not None and t and shingles(t, n)}
+        assert got == components_of(brute(docs, n, threshold), ids)
+    assert neardup.near_groups(clashing([], "rec long, text string"), "rec", "text").count() == 0
+
+
+def family(words, n, length=200):
+    own = words(length, 1)
+    return [(k, " ".join([*own[: k % length], f"parola{k}", *own[k % length + 1 :]])) for k in range(n)]
+
+
+def test_a_family_of_edited_copies_makes_no_pairs(spark, words, monkeypatch):
+    """One row a member and bucket is compared, and nothing more, since all are in one group by then."""
+    compared = []
+    verified = neardup._verified
+    monkeypatch.setattr(neardup, "_verified", lambda pairs, *rest: compared.append(pairs.count()) or verified(pairs, *rest))
+    df = spark.createDataFrame(family(words, 400), "rec long, text string")
+    groups = neardup.near_groups(df, "rec", "text", 3, 0.6).collect()
+    assert {r.group_id for r in groups} == {0} and len(groups) == 400 and compared[0] <= 40 * 400 and compared[1] == 0
+
+
 def test_groups_query(spark, sf):
     found, groups = neardup.p5_found(spark, sf), neardup.p5_groups(spark, sf)
     of = {r.rec_id: r.group_id for r in groups.collect()}
