@@ -24,6 +24,7 @@ QUERIES = {
     "p8_found": reading.p8_found,
     "p8_profile": reading.p8_profile,
     "p8_validation": reading.p8_validation,
+    "p8_sources": reading.p8_sources,
 }
 
 SQL: dict[str, str] = {}

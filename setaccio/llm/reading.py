@@ -9,7 +9,9 @@ grades, cut at thresholds calibrated by cross-validation, so that a sentence of
 
 from __future__ import annotations
 
+import pickle
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +35,13 @@ FOLDS = 6
 NEAR = 40
 LEVELS = (1, 2, 3)
 
-#: Italian words that subordinate or qualify a clause.
+#: Subordinating conjunctions and relative pronouns of Italian, a closed class.
 SUBORDINATORS = (
-    "che", "cui", "quale", "quali", "se", "ove", "laddove", "qualora", "purche", "giacche", "poiche", "perche", "benche", "sebbene", "ancorche", "affinche", "quando", "mentre", "allora",
-    "anche", "ne", "dal", "momento", "posto", "atteso", "salvo", "pure", "quanto", "come", "dove", "dunque", "pertanto", "nonostante",
+    "che", "cui", "quale", "quali", "chi", "se", "perche", "poiche", "giacche", "siccome", "benche", "sebbene", "quantunque", "nonostante", "malgrado", "affinche", "acciocche", "purche", "qualora", "ove", "laddove",
+    "quando", "mentre", "finche", "appena", "dopoche", "prima", "come", "dove", "donde", "quanto", "cosicche", "sicche", "dacche", "fuorche", "eccetto", "ancorche", "allorche",
 )
-#: Words that string simple clauses together.
-SIMPLE = ("e", "poi", "oggi", "ecco", "c", "ha", "dice", "ride")
 
-FEATURES = ("length", "long", "spread", "word_1", "word_2", "word_3", "known", "gram_1", "gram_3", "common", "subordinate", "simple", "comma", "stop", "again")
+FEATURES = ("length", "long", "spread", "word_1", "word_2", "word_3", "known", "gram_1", "gram_3", "common", "subordinate", "comma", "stop", "again")
 
 
 def _hash_set(words: tuple[str, ...]) -> np.ndarray:
@@ -79,7 +79,7 @@ _SETS: dict[str, np.ndarray] = {}
 
 def _sets() -> dict[str, np.ndarray]:
     if not _SETS:
-        _SETS.update(subordinate=_hash_set(SUBORDINATORS), simple=_hash_set(SIMPLE))
+        _SETS.update(subordinate=_hash_set(SUBORDINATORS))
     return _SETS
 
 
@@ -115,7 +115,7 @@ def windows(texts: list[str], vocabulary: Vocabulary, language: Language, found:
     again[order[1:][(key[order[1:]] == key[order[:-1]]) & (np.diff(order) <= NEAR)]] = True
     common = language.is_common(words)
     width = np.minimum(sizes, 30).astype(float)
-    columns = (width, sizes >= 9, width**2, *odds, known, grams[0], grams[2], common, _among(words, _sets()["subordinate"]), _among(words, _sets()["simple"]), comma, stop, again & ~common)
+    columns = (width, sizes >= 9, width**2, *odds, known, grams[0], grams[2], common, _among(words, _sets()["subordinate"]), comma, stop, again & ~common)
     cum = np.concatenate((np.zeros((1, len(columns))), np.cumsum(np.stack(columns, axis=1).astype(float), axis=0)))
     counts = np.where(np.diff(offsets) > 0, 1 + np.maximum(np.diff(offsets) - WINDOW + STEP - 1, 0) // STEP, 0)
     out = np.concatenate(([0], np.cumsum(counts)))
@@ -136,6 +136,15 @@ def _variants(text: str) -> list[str]:
     return [text, _STOP.sub("", text), _BREAK.sub(lambda m: " e poi " + m[1], text), re.sub(r"[^\w\s']", " ", text)]
 
 
+def parts_of(levels: np.ndarray) -> np.ndarray:
+    """The part of the cross-validation of each sample; each part has its share of each level."""
+    out = np.empty(len(levels), dtype=np.int64)
+    for k in LEVELS:
+        own = np.flatnonzero(levels == k)
+        out[own] = np.random.default_rng(k).permutation(len(own)) % FOLDS
+    return out
+
+
 class Grader:
     """Trees and thresholds trained on graded samples."""
 
@@ -145,10 +154,7 @@ class Grader:
             raise ValueError("samples of every level are needed")
         self.language = language
         texts, y = [t for t, _ in samples], np.array([k for _, k in samples])
-        fold_of = np.empty(len(y), dtype=np.int64)
-        for k in LEVELS:  # each part has its share of each level
-            own = np.flatnonzero(y == k)
-            fold_of[own] = np.random.default_rng(k).permutation(len(own)) % FOLDS
+        fold_of = parts_of(y)
         parts = []
         for part in range(FOLDS):
             inside = np.flatnonzero(fold_of == part)
@@ -164,7 +170,7 @@ class Grader:
             model = Boosted().fit(x[fold_of[of] != part], y[of][fold_of[of] != part].astype(float))
             for i in np.flatnonzero(fold_of == part):
                 self.grades[i] = np.median(model.predict(x[of == i]))
-        self.levels, self.folds = y, fold_of
+        self.levels = y
         self.thresholds = tuple(self._threshold(k) for k in LEVELS[:-1])
         self.model = Boosted().fit(x, y[of].astype(float))
         self.vocabulary = Vocabulary(texts, y)
@@ -207,31 +213,57 @@ class Italian:
         return (counts.get("it", np.zeros(len(offsets) - 1)) == most) & (most >= 0.08 * np.diff(offsets))
 
 
-def _models(spark: SparkSession, sf_dir: str) -> tuple[Grader, Italian]:
+def _graded(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
     samples = [tuple(r) for r in _bounded(table(spark, sf_dir, "reading_samples"), "text", "reading_level")]
     if sum(len(t) for t, _ in samples) > MOST_CHARS:
         raise ValueError(f"samples of more than {MOST_CHARS} characters, {MOST_SAMPLES} rows at most")
+    return samples
+
+
+def _models(spark: SparkSession, sf_dir: str) -> tuple[Grader, Italian]:
     common = [tuple(r) for r in _bounded(table(spark, sf_dir, "common_words"), "lang", "word")]
-    return Grader(samples, known_language(spark, sf_dir)), Italian(common)
+    return Grader(_graded(spark, sf_dir), known_language(spark, sf_dir)), Italian(common)
+
 
+def held_out(spark: SparkSession, samples: list[tuple[str, int]], language: Language) -> list[tuple[Grader, list[tuple[str, int]]]]:
+    """For each part of the samples a grader trained wholly without it (vocabulary, trees and thresholds), and the part; a task fits each."""
+    samples = [(t, k) for t, k in samples if k in LEVELS and t.strip()]
+    part_of = parts_of(np.array([k for _, k in samples]))
+    sent = spark.sparkContext.broadcast((samples, part_of, language))
 
-def reading_levels(df: DataFrame, id_col: str, text_col: str, grader: Grader, italian: Italian, source_col: str | None = None) -> DataFrame:
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, parts, known = sent.value
+        for batch in batches:
+            for part in batch.column("id").to_pylist():
+                grader = Grader([s for s, p in zip(own, parts) if p != part], known)
+                yield pa.RecordBatch.from_pydict({"part": [part], "grader": [pickle.dumps(grader)]})
+
+    # FOLDS rows of a vocabulary of the samples' words, whose number is bounded
+    rows = sorted(spark.range(0, FOLDS, 1, FOLDS).mapInArrow(fit, "part long, grader binary").collect())
+    return [(pickle.loads(r.grader), [s for s, p in zip(samples, part_of) if p == r.part]) for r in rows]
+
+
+def reading_levels(df: DataFrame, id_col: str, text_col: str, grader: Grader, italian: Italian, source_col: str | None = None, others: list[Grader] | None = None) -> DataFrame:
     """id, source (null without source_col), n_words, grade and reading_level of each row of running Italian prose of `LEAST_WORDS` words or more.
 
+    others: graders of which each row gets the grade and level by one (other_grade, other_level), told by its id's hash; null without them.
+
     Null, empty and blank texts, shorter ones, lists, tables and junk, and texts in another language have no row; nor have rows without an id.
     Repeated rows are given again. Texts are read whole. Other columns, whatever their names, are not read.
     """
-    sent = df.sparkSession.sparkContext.broadcast((grader, italian))
+    sent = df.sparkSession.sparkContext.broadcast((grader, italian, others or []))
     source = df[source_col] if source_col else F.lit(None).cast("string")
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"), source.alias("source")).where("id is not null and text is not null")
+    docs = docs.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, len(others or [])))).cast("int"))
 
     def make():
-        model, it = sent.value
+        model, it, more = sent.value
 
         def f(batch: pa.RecordBatch) -> dict:
             texts = batch.column("text").to_pylist()
             counts = [len(t.split()) for t in texts]
-            rows, grades = [], []
+            part = np.array(batch.column("part").to_pylist())
+            rows, grades, second = [], [], {}
             for lo, hi in blocks(texts):
                 own = [i for i in range(lo, hi) if counts[i] >= LEAST_WORDS]
                 if not own:
@@ -243,15 +275,20 @@ def reading_levels(df: DataFrame, id_col: str, text_col: str, grader: Grader, it
                 keep = [k for k, s in zip(keep, kinds) if s["kind"] == "prose"]
                 rows += [own[k] for k in keep]
                 grades.append(model.grade(clean, found)[keep])
+                for p in set(part[[own[k] for k in keep]].tolist()) if more else ():
+                    mine = [k for k in keep if part[own[k]] == p]
+                    got = more[p].grade([clean[k] for k in mine])
+                    second.update((own[k], (float(g), int(v))) for k, g, v in zip(mine, got, more[p].level(got)))
             grade, at = np.concatenate(grades) if grades else np.zeros(0), pa.array(rows, type=pa.int64())
             return {
                 "id": batch.column("id").take(at), "source": batch.column("source").take(at), "n_words": [counts[i] for i in rows],
                 "grade": pa.array(grade), "reading_level": pa.array(model.level(grade).astype(np.int32)),
+                "other_grade": [second.get(i, (None, None))[0] for i in rows], "other_level": [second.get(i, (None, None))[1] for i in rows],
             }
 
         return f
 
-    return arrow_map(docs, make, f"id {docs.schema['id'].dataType.simpleString()}, source string, n_words int, grade double, reading_level int")
+    return arrow_map(docs, make, f"id {docs.schema['id'].dataType.simpleString()}, source string, n_words int, grade double, reading_level int, other_grade double, other_level int")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,12 +307,20 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each part of the cross-validation and each level: samples, those graded right, and the mean error of their grades."""
-    g, _ = _models(spark, sf_dir)
-    got = g.level(g.grades)
+    """For each part of the samples and each level: samples, those graded right by a grader that hasn't seen the part in any step, and the mean error of their grades."""
     rows = []
-    for part in range(FOLDS):
+    for part, (grader, own) in enumerate(held_out(spark, _graded(spark, sf_dir), known_language(spark, sf_dir))):
+        grades, levels = grader.grade([plain(t) for t, _ in own]), np.array([k for _, k in own])
         for k in LEVELS:
-            own = (g.folds == part) & (g.levels == k)
-            rows.append((part, k, int(own.sum()), int((got[own] == k).sum()), round(float(np.abs(g.grades[own] - k).mean()), 6) if own.any() else None))
+            mine = levels == k
+            rows.append((part, k, int(mine.sum()), int((grader.level(grades[mine]) == k).sum()), round(float(np.abs(grades[mine] - k).mean()), 6) if mine.any() else None))
     return spark.createDataFrame(rows, "part int, reading_level int, n_samples int, n_right int, mean_error double")
+
+
+def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each source of documents: how many are graded, the share that a grader trained without a part of the samples gives the same level, and the mean
+    difference of the two grades. Each document meets one of those graders, so all of them judge every source."""
+    others = [g for g, _ in held_out(spark, _graded(spark, sf_dir), known_language(spark, sf_dir))]
+    found = reading_levels(table(spark, sf_dir, "documents"), "doc_id", "text", *_models(spark, sf_dir), "source", others).groupBy("source")
+    same = F.avg((F.col("reading_level") == F.col("other_level")).cast("double"))
+    return found.agg(F.count(F.lit(1)).alias("n_documents"), F.round(same, 6).alias("same_level"), F.round(F.avg(F.abs(F.col("grade") - F.col("other_grade"))), 6).alias("mean_difference"))

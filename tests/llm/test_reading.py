@@ -73,6 +73,8 @@ def test_queries(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert found and all(v in (1, 2, 3) and len(texts[k].split()) >= 60 for k, v in found.items())
     assert sum(r.n_documents for r in reading.p8_profile(spark, sf).collect()) == len(found)
+    sources = reading.p8_sources(spark, sf).collect()
+    assert sum(r.n_documents for r in sources) == len(found) and all(r.same_level > 0.9 and r.mean_difference < 0.2 for r in sources if r.n_documents >= 5)
 
 
 def test_one_phrase_over_and_over_has_no_level(clashing, models):
