@@ -34,8 +34,8 @@ _LINK = re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]*)\]\]")
 _HYPHENS = "".join(map(chr, (0x2D, 0x2010, 0x2011)))
 _BROKEN = re.compile(rf"(?<=[^\W_])[{_HYPHENS}][^\S\r\n]*\r?\n[^\S\r\n]*(?=[^\W\d_])")
 #: Code points of no width or without a glyph; line ends, tabs and the other blanks aren't among them.
-_UNSEEN = ((0x0, 0x8), (0xE, 0x1B), (0x7F, 0x84), (0x86, 0x9F), (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x180E, 0x180E), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF))
-_INVISIBLE = re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in _UNSEEN) + "]+")
+UNSEEN = ((0x0, 0x8), (0xE, 0x1B), (0x7F, 0x84), (0x86, 0x9F), (0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x180E, 0x180E), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF))
+_INVISIBLE = re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in UNSEEN) + "]+")
 
 
 def plain(text: str) -> str:
@@ -128,6 +128,18 @@ def _overlaps(ids: list, texts: list[str], p: Passages) -> list[tuple]:
     return out
 
 
+def _blocks(passages: DataFrame) -> int:
+    """Number of hash shares of the passages, none of which has more than PASSAGE_CHARS characters but for one passage that has by itself."""
+    total, longest, n = passages.agg(F.coalesce(F.sum(F.length("c0")), F.lit(0)), F.coalesce(F.max(F.length("c0")), F.lit(0)), F.count_distinct("id")).first()
+    blocks = max(1, -(-total // PASSAGE_CHARS))
+    while 1 < blocks < n:
+        share = passages.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks))).agg(F.sum(F.length("c0")).alias("s")).agg(F.max("s")).first()[0]
+        if share <= max(PASSAGE_CHARS, longest):
+            break
+        blocks = min(n, blocks + -(-blocks // 4))
+    return blocks
+
+
 def overlaps(corpus: DataFrame, id_col: str, text_col: str, passages: DataFrame, passage_id: str, passage_text: str) -> DataFrame:
     """One row for each corpus text, passage and diagonal on which a masked window agrees.
 
@@ -138,8 +150,7 @@ def overlaps(corpus: DataFrame, id_col: str, text_col: str, passages: DataFrame,
     under one id give their rows again. Passages without text in common and empty tables give an empty result.
     """
     corpus, passages = keyed(corpus, id_col, text_col), keyed(passages, passage_id, passage_text).where("c0 is not null")
-    chars = passages.agg(F.sum(F.length("c0"))).first()[0] or 0
-    n_blocks = -(-chars // PASSAGE_CHARS) or 1
+    n_blocks = _blocks(passages)
     parts = []
     for k in range(n_blocks):
         block = passages if n_blocks == 1 else passages.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == k)

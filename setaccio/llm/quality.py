@@ -315,3 +315,8 @@ def p1_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records and mean statistics by kind."""
     means = [F.round(F.avg(c), 4).alias(c) for c in ("common_words", "known_trigrams", "duplicate_lines", "top_4gram", "punctuated_lines")]
     return p1_stats(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("n_records"), *means)
+
+
+def p1_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters that aren't blanks, and words, of every record."""
+    return p1_stats(spark, sf_dir).select("rec_id", "n_chars", "n_words")

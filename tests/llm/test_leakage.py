@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from test_words import tokens
 
@@ -71,3 +73,16 @@ def test_long_and_broken_tags(clashing, words):
     long, broken = f'<a href="https://example.org/{"x" * 300}" title="una voce con un titolo lungo">', '<a href="x"\n  title="una voce">'
     corpus = [(k, " ".join([*own[:6], tag + own[6] + "</a>", *own[7:]])) for k, tag in enumerate((long, broken))] + [(2, " ".join([*own[:6], "a < b", *own[6:], ">"]))]
     assert found(clashing(corpus, "row long, text string"), clashing([(9, " ".join(own))], "probe long, text string")) == {(0, 9), (1, 9)}
+
+
+@pytest.mark.parametrize(("rate", "recall"), [(0.05, 0.99), (0.1, 0.97), (0.2, 0.85)])
+def test_recall_of_substituted_passages(rate, recall):
+    """Passages of 20 to 60 words of which a share is replaced, between other words."""
+    r = random.Random(1)
+    pool = [f"w{k}" for k in range(3000)]
+    some = lambda n: [r.choice(pool) for _ in range(n)]
+    passages = [some(r.randint(20, 60)) for _ in range(300)]
+    texts = [" ".join([*some(30), *(r.choice(pool) if r.random() < rate else w for w in p), *some(30)]) for p in passages]
+    got = leakage._overlaps(list(range(300)), texts, leakage.Passages([(k, " ".join(p)) for k, p in enumerate(passages)]))
+    found = {(x[0], x[1]) for x in got if x[4] >= 12 and 4 * x[5] >= 3 * x[4]}
+    assert all(a == b for a, b in found) and len(found) >= recall * 300
