@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Ranges of a prefix sum.
-RANGES = 64
+#: Ranges of a prefix sum, at least and at most, and rows a range is meant to have.
+RANGES, MOST_RANGES, ROWS = 64, 1024, 1_000_000
 
 
 def sizes(df: DataFrame, id_col: str, text_col: str, separator: str = "") -> DataFrame:
@@ -17,27 +17,41 @@ def sizes(df: DataFrame, id_col: str, text_col: str, separator: str = "") -> Dat
     return df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), (F.octet_length(text_col) + len(separator.encode())).cast("long").alias("bytes"))
 
 
-def _range_of(df: DataFrame, id_col: str, ranges: int) -> Column:
-    """Number of the range that an id falls into; bounds are approximate quantiles, so at most `ranges` values reach the driver."""
-    at = [k / ranges for k in range(1, ranges)]
-    bounds = sorted(set(df.agg(F.percentile_approx(id_col, at, 10_000)).first()[0] or []))
+def range_of(df: DataFrame, id_col: str, ranges: int | None = None) -> Column:
+    """Number of the range that a value of id_col falls into; there are as many as the rows need, unless the number is given.
+
+    Bounds are approximate quantiles, at most MOST_RANGES values on the driver. Beyond RANGES of them a value is looked for among every RANGES-th
+    first and then between two of those, so it is compared with some 2 * 64 bounds at most.
+    """
+    most = max(2, ranges or MOST_RANGES)
+    shares = ", ".join(f"{k / most}D" for k in range(1, most))  # as text, which is parsed once
+    n, bounds = df.agg(F.count(id_col), F.expr(f"percentile_approx(`{id_col}`, array({shares}), {max(10_000, most)})")).first()
+    wanted = ranges or min(MOST_RANGES, max(RANGES, -(-n // ROWS)))
+    bounds = sorted(set(bounds or []))
+    bounds = bounds[:: max(1, -(-len(bounds) // wanted))]
     if not bounds:
         return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(id_col)))
+    below = lambda values: F.size(F.filter(values, lambda b: b < F.col(id_col)))
+    if len(bounds) <= RANGES:
+        return below(F.array(*map(F.lit, bounds)))
+    parts = [bounds[k : k + RANGES] for k in range(0, len(bounds), RANGES)]
+    part = below(F.array(*(F.lit(p[0]) for p in parts[1:])))
+    return part * RANGES + below(F.element_at(F.array(*(F.array(*map(F.lit, p)) for p in parts)), part + 1))
 
 
-def prefix_sums(df: DataFrame, id_col: str, value_col: str, ranges: int = RANGES) -> DataFrame:
+def prefix_sums(df: DataFrame, id_col: str, value_col: str, ranges: int | None = None) -> DataFrame:
     """df with `before`, the sum of value_col over the rows of lower id, and `rank`, their number.
 
     Rows of one id are taken in any order among themselves. Ids must not be null; an empty table stays empty.
     """
-    rows = df.withColumn("range", _range_of(df, id_col, ranges))
+    rows = df.withColumn("range", range_of(df, id_col, ranges))
     own = Window.partitionBy("range").orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("range").agg(F.sum(value_col).alias("total"), F.count(F.lit(1)).alias("rows"))
-    over = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over `ranges` rows at most
-    offsets = totals.select("range", F.coalesce(F.sum("total").over(over), F.lit(0)).alias("sum_before"), F.coalesce(F.sum("rows").over(over), F.lit(0)).alias("rows_before"))
-    out = rows.withColumns({"inside": F.coalesce(F.sum(value_col).over(own), F.lit(0)), "place": F.count(F.lit(1)).over(own)}).join(F.broadcast(offsets), "range")
-    return out.withColumns({"before": F.col("inside") + F.col("sum_before"), "rank": F.col("place") + F.col("rows_before")}).drop("range", "inside", "place", "sum_before", "rows_before")
+    totals = rows.groupBy(F.col("range").alias("r")).agg(F.sum(value_col).alias("total"), F.count(F.lit(1)).alias("rows"))
+    over = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)  # over MOST_RANGES rows at most
+    offsets = totals.select("r", F.coalesce(F.sum("total").over(over), F.lit(0)).alias("sum_before"), F.coalesce(F.sum("rows").over(over), F.lit(0)).alias("rows_before"))
+    # null-safe, for from a plain equality the optimizer would infer a filter of the other side by the expression of the range, which it can't evaluate there
+    out = rows.withColumns({"inside": F.coalesce(F.sum(value_col).over(own), F.lit(0)), "place": F.count(F.lit(1)).over(own)}).join(F.broadcast(offsets), F.col("range").eqNullSafe(F.col("r")))
+    return out.withColumns({"before": F.col("inside") + F.col("sum_before"), "rank": F.col("place") + F.col("rows_before")}).drop("range", "r", "inside", "place", "sum_before", "rows_before")
 
 
 def until_reached(df: DataFrame, id_col: str, text_col: str, most_bytes: int, most_rows: int | None = None) -> DataFrame:
@@ -75,13 +89,13 @@ def shards(df: DataFrame, id_col: str, text_col: str, cap: int, n_shards: int |
     asks = rows.select((F.col("before") + F.greatest(F.lit(cap), F.col("bytes"))).alias("at"), F.lit(0).alias("kind"), F.col("rank").alias("rank"))
     # the successor of a beginning is the first row whose end lies behind its limit: ends at the limit still fit and come before it
     merged = ends.withColumn("order", F.struct("at", F.lit(0).alias("k"), "rank")).unionByName(asks.withColumn("order", F.struct("at", F.lit(1).alias("k"), "rank")))
-    merged = merged.withColumn("range", _range_of(rows.select((F.col("before") + F.col("bytes")).alias("at")), "at", RANGES))
+    merged = merged.withColumn("range", range_of(rows.select((F.col("before") + F.col("bytes")).alias("at")), "at"))
     ahead = Window.partitionBy("range").orderBy("order").rowsBetween(1, Window.unboundedFollowing)
     inside = merged.withColumn("next", F.min(F.when(F.col("kind") == 1, F.col("rank"))).over(ahead))
     firsts = merged.where("kind = 1").groupBy("range").agg(F.min("rank").alias("first"))
-    later = Window.orderBy("range").rowsBetween(1, Window.unboundedFollowing)  # over RANGES rows at most
-    every = merged.select("range").distinct().join(firsts, "range", "left").select("range", F.min("first").over(later).alias("first_later"))
-    step = cut(inside.where("kind = 0").join(F.broadcast(every), "range").select("rank", F.coalesce("next", "first_later").alias("next")).where("next is not null"))
+    later = Window.orderBy("range").rowsBetween(1, Window.unboundedFollowing)  # over MOST_RANGES rows at most
+    every = merged.select("range").distinct().join(firsts, "range", "left").select(F.col("range").alias("r"), F.min("first").over(later).alias("first_later"))
+    step = cut(inside.where("kind = 0").join(F.broadcast(every), F.col("range").eqNullSafe(F.col("r"))).select("rank", F.coalesce("next", "first_later").alias("next")).where("next is not null"))
     starts = rows.where("rank = 0").select("rank")
     empty = rows.where(f"rank = 0 and bytes > {int(cap)}").count()
     count = None

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from setaccio.operators.budget import range_of
+
 #: Ratio over the baseline from which a model counts as forgetting.
 FORGETTING = 1.15
 
@@ -28,9 +30,18 @@ def compare(df: DataFrame, first: str, second: str) -> DataFrame:
 
 
 def running_best(df: DataFrame, group_col: str, order_col: str, value_col: str) -> DataFrame:
-    """df with best_before and improved: the least value earlier in the order, and whether a row's own is below it (as the first is)."""
-    before = Window.partitionBy(group_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.withColumn("best_before", F.min(value_col).over(before))
+    """df with best_before and improved: the least value earlier in the order, and whether a row's own is below it (as the first is).
+
+    The order is cut into ranges, so a group of a third of all rows is in as many tasks as others.
+    """
+    rows = df.withColumn("_range", range_of(df, order_col))
+    ahead = Window.unboundedPreceding, -1
+    inside = F.min(value_col).over(Window.partitionBy(group_col, "_range").orderBy(order_col).rowsBetween(*ahead))
+    # the least value of each group in each range, and in the ranges before it: at most MOST_RANGES rows a group
+    least = rows.groupBy(F.col(group_col).alias("_group"), F.col("_range").alias("_r")).agg(F.min(value_col).alias("_least"))
+    earlier = least.select("_group", "_r", F.min("_least").over(Window.partitionBy("_group").orderBy("_r").rowsBetween(*ahead)).alias("_earlier"))
+    joined = rows.withColumn("_inside", inside).join(earlier, F.col(group_col).eqNullSafe(F.col("_group")) & F.col("_range").eqNullSafe(F.col("_r")))
+    out = joined.select(*df.columns, F.least("_inside", "_earlier").alias("best_before"))
     return out.withColumn("improved", F.coalesce(F.col(value_col) < F.col("best_before"), F.col(value_col).isNotNull()))
 
 

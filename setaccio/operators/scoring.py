@@ -13,6 +13,8 @@ from setaccio.plans.tables import cut
 
 #: Characters that are scored, and words a text must have.
 HEAD, LEAST_WORDS = 10_000, 8
+#: Words or pairs of a model that is sent to every task.
+MOST_SENT = 1_000_000
 #: Trigrams of a model that is broadcast; a larger one is shuffled.
 MOST_GRAMS = 50_000
 
@@ -22,17 +24,22 @@ def _tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), words.alias("words"))
 
 
+def _sent(model: DataFrame) -> DataFrame:
+    """A written model, marked to be sent to every task if it is small enough for that."""
+    return F.broadcast(model) if model.count() <= MOST_SENT else model
+
+
 def unigram_perplexity(df: DataFrame, id_col: str, text_col: str, k: float = 1.0) -> DataFrame:
     """id_col, n_words, ppl of every text by an add-k model of the words of all texts.
 
-    Counts a text's words before they meet the model's, so a common word is a row a text in the join and a model's row is one a word.
+    A model of up to MOST_SENT words goes to every task, and a text's sum is made where the text is read; a larger one is joined by a shuffle.
     """
     docs = _tokens(df, id_col, text_col)
-    counts = cut(docs.select("id", F.explode("words").alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n")))
-    model = counts.groupBy("word").agg(F.sum("n").alias("total"))
+    words = docs.select("id", F.explode("words").alias("word"))
+    model = cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("total")))
     sums = model.agg((F.sum("total") + k * (F.count(F.lit(1)) + 1)).alias("all")).scalar()
     nll = -F.log((F.col("total") + k) / F.col("all"))
-    scored = counts.join(model, "word").withColumn("all", sums).groupBy("id").agg(F.sum(nll * F.col("n")).alias("nll"))
+    scored = words.join(_sent(model), "word").withColumn("all", sums).groupBy("id").agg(F.sum(nll).alias("nll"))
     return _perplexity(docs, scored, id_col, 0)
 
 
@@ -40,13 +47,13 @@ def bigram_perplexity(df: DataFrame, id_col: str, text_col: str, k: float = 1.0)
     """id_col, n_words, ppl of every text by an add-k model of each word given the one before it."""
     docs = _tokens(df, id_col, text_col)
     pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.struct(F.element_at("words", i).alias("a"), F.element_at("words", i + 1).alias("b")))
-    counts = cut(docs.where(F.size("words") >= 2).select("id", F.explode(pairs).alias("p")).groupBy("id", "p.a", "p.b").agg(F.count(F.lit(1)).alias("n")))
-    both = counts.groupBy("a", "b").agg(F.sum("n").alias("pair"))
+    rows = docs.where(F.size("words") >= 2).select("id", F.explode(pairs).alias("p")).select("id", "p.a", "p.b")
+    both = cut(rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("pair")))
     one = both.groupBy("a").agg(F.sum("pair").alias("first"))
     types = docs.select(F.explode("words").alias("w")).agg(F.count_distinct("w").alias("types")).scalar()
     nll = -F.log((F.col("pair") + k) / (F.col("first") + k * (F.col("types") + 1)))
-    model = both.join(one, "a").withColumn("types", types).select("a", "b", nll.alias("nll"))
-    scored = counts.join(model, ["a", "b"]).groupBy("id").agg(F.sum(F.col("nll") * F.col("n")).alias("nll"))
+    model = cut(both.join(one, "a").withColumn("types", types).select("a", "b", nll.alias("nll")))
+    scored = rows.join(_sent(model), ["a", "b"]).groupBy("id").agg(F.sum("nll").alias("nll"))
     return _perplexity(docs, scored, id_col, 1)
 
 

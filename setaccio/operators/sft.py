@@ -54,8 +54,9 @@ def batches(df: DataFrame, order_col: str, size: int) -> DataFrame:
 
 
 def shuffled(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
-    """df with `place`, a random but repeatable position by a hash of the id and the seed."""
-    return df.withColumn("place", F.xxhash64(id_col, F.lit(seed)))
+    """df with `place`, each row's position (0, 1, ...) in a random but repeatable order, by a hash of the id and the seed."""
+    keyed = df.withColumns({"key": F.xxhash64(id_col, F.lit(seed)), "one": F.lit(1).cast("long")})
+    return prefix_sums(keyed, "key", "one").withColumnRenamed("rank", "place").drop("key", "one", "before")
 
 
 def masked_mean(df: DataFrame, loss_col: str, target_col: str) -> DataFrame:
@@ -64,12 +65,17 @@ def masked_mean(df: DataFrame, loss_col: str, target_col: str) -> DataFrame:
 
 
 def slots(df: DataFrame, id_col: str, completion_col: str) -> DataFrame:
-    """id_col, slot, value of each slot of a completion that is a JSON object; lists give a row an element, nulls none."""
-    pairs = df.select(id_col, F.explode(F.from_json(completion_col, "map<string,string>")).alias("slot", "raw")).where("raw is not null")
-    values = F.when(F.col("raw").startswith("["), F.from_json("raw", "array<string>")).otherwise(F.array("raw"))
+    """id_col, slot, value of each slot of a completion that is a JSON object; lists give a row an element, nulls none.
+
+    What a value is, is told by its JSON type, so a string that begins with a bracket is a string.
+    """
+    pairs = df.select(id_col, F.explode(F.from_json(completion_col, "map<string,variant>")).alias("slot", "raw"))
+    values = F.when(F.schema_of_variant("raw").startswith("ARRAY"), F.try_variant_get("raw", "$", "array<string>")).otherwise(F.array(F.try_variant_get("raw", "$", "string")))
     return pairs.select(id_col, "slot", F.explode(values).alias("value")).where("value is not null")
 
 
 def encode_slots(c: Column) -> Column:
-    """A JSON object without its null-valued slots, keys in order."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_filter(F.from_json(c, "map<string,string>"), lambda k, v: v.isNotNull())))))
+    """A JSON object without its null-valued slots, keys in order; lists, numbers and nested objects stay what they are."""
+    kept = F.map_filter(F.from_json(c, "map<string,variant>"), lambda k, v: ~F.is_variant_null(v))
+    keys = F.array_sort(F.map_keys(kept))
+    return F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(kept, k))))

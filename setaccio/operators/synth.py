@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from setaccio.operators.dedup import quota
@@ -12,23 +14,23 @@ TEMPLATES = {
     "update_event": ("Porta {title} a {date} alle {time}", "Cambia il giorno di {title}: {date}"),
     "delete_event": ("Annulla {title} di {date}", "Leva {title} con {contact} dal calendario"),
     "create_recurring": ("Fissa {title} {every} alle {time}", "Metti {title} {every} con {contact}"),
-    "delete_recurring": ("Interrompi {title} {every}", "Basta con {title} {every}"),
+    "delete_recurring": ("Interrompi {title} {every}", "Basta con {title} {every} alle {time}"),
     "query_schedule": ("Cosa ho {date}?", "Che impegni ci sono {date} alle {time}?"),
     "find_free_slot": ("Quando sono libero {date}?", "Trovami un buco {date} per {title}"),
     "add_reminder": ("Fammi ricordare {title} {date}", "Un promemoria per {title} {date} alle {time}"),
     "update_reminder": ("Il promemoria di {title} va a {date}", "Cambia il promemoria di {title} alle {time}"),
-    "delete_reminder": ("Togli il promemoria di {title}", "Via il promemoria {date} di {title}"),
+    "delete_reminder": ("Togli il promemoria di {title} delle {time}", "Via il promemoria {date} di {title}"),
     "add_contact": ("Salva {contact}, {role}, {phone}", "Nuovo contatto: {contact}, posta {mail}"),
     "query_contact": ("Qual è il numero di {contact}?", "Dammi la posta di {contact}, {role}"),
     "update_contact": ("Il nuovo numero di {contact} è {phone}", "Cambia la posta di {contact} in {mail}"),
     "delete_contact": ("Elimina {contact} dai contatti", "Non mi serve più {contact}, {role}"),
     "add_birthday": ("{contact} compie gli anni {date}", "Segna il compleanno di {contact}: {date}"),
     "query_birthday": ("Quando compie gli anni {contact}?", "Chi compie gli anni {date}?"),
-    "query_datetime": ("Che giorno è {date}?", "Che ora è adesso, {contact}?"),
+    "query_datetime": ("Che giorno è {date}?", "Che giorno della settimana cade {date}?"),
     "query_duration": ("Quanto manca a {date}?", "Quanti giorni mancano a {title} {date}?"),
     "query_holiday": ("È festa {date}?", "Quale festa cade {date}?"),
     "set_status": ("Segnami come occupato {date}", "Non disturbare {date} alle {time}"),
-    "unknown": ("Raccontami di {title}", "Che cosa pensa {contact} di {title}?"),
+    "unknown": ("Raccontami di {title} e di {contact}", "Che cosa pensa {contact} di {title}?"),
 }
 #: The six intents of the smaller set and how many of each are wanted.
 FIRST_SET = {"create_event": 175, "delete_event": 175, "query_schedule": 180, "add_reminder": 175, "add_contact": 175, "unknown": 180}
@@ -36,12 +38,16 @@ FIRST_SET = {"create_event": 175, "delete_event": 175, "query_schedule": 180, "a
 WANTED, ATTEMPTS = 200, 60
 #: Characters of a prompt by which two of an intent count as the same.
 PREFIX = {1: 50, 2: 60}
+_FIRST = ("Ada", "Bruno", "Carla", "Dario", "Elsa", "Fabio", "Gina", "Ivo", "Lia", "Mario", "Nora", "Pia", "Ugo")
+_LAST = ("Neri", "Conti", "Riva", "Sala", "Monti", "Galli", "Serra", "Bassi", "Fonti", "Villa", "Costa", "Gatti", "Leoni")
+_DAYS = ("lunedì", "martedì", "mercoledì", "giovedì", "venerdì")
+_MONTHS = ("gennaio", "febbraio", "marzo", "aprile", "maggio", "giugno", "luglio", "agosto", "settembre", "ottobre", "novembre", "dicembre")
 POOLS = {
     "title": ("la riunione", "il corso di nuoto", "la visita medica", "il pranzo", "la lezione di piano", "il colloquio", "la consegna", "la revisione", "il concerto", "la spesa", "il torneo", "la cena"),
-    "contact": ("Ada Neri", "Bruno Conti", "Carla Riva", "Dario Sala", "Elsa Monti", "Fabio Galli", "Gina Serra", "Ivo Bassi", "Lia Fonti", "Mario Villa", "Nora Costa", "Pia Gatti", "Ugo Leoni"),
-    "date": ("domani", "dopodomani", "lunedì", "martedì", "giovedì prossimo", "il 3 maggio", "il 14 giugno", "il 21 luglio", "il 30 ottobre", "sabato", "fra una settimana"),
-    "time": ("8:00", "9:15", "10:30", "11:45", "13:00", "14:15", "15:30", "16:45", "18:00", "19:30", "21:00"),
-    "every": ("ogni giorno", "ogni lunedì", "ogni mese", "ogni venerdì", "due volte a settimana"),
+    "contact": tuple(f"{first} {last}" for first in _FIRST for last in _LAST),
+    "date": ("domani", "dopodomani", *(f"{day} prossimo" for day in _DAYS), *(f"il {d} {month}" for month in _MONTHS for d in range(1, 29))),
+    "time": tuple(f"{h}:{m:02d}" for h in range(7, 22) for m in range(0, 60, 5)),
+    "every": ("ogni giorno", "ogni mese", *(f"ogni {day}" for day in _DAYS), *(f"ogni {n} {unit}" for unit in ("giorni", "settimane") for n in range(2, 16))),
     "role": ("collega", "idraulico", "cliente", "vicino", "dentista", "fornitore"),
 }
 
@@ -109,23 +115,28 @@ def shortfall(found: DataFrame, wanted: dict[str, int]) -> DataFrame:
     return want.join(counts, "intent", "left").select("intent", F.coalesce("n", F.lit(0)).alias("n"), (F.col("wanted") - F.coalesce("n", F.lit(0))).alias("missing"))
 
 
-#: Hand-written pairs of the smallest set, some of each of six intents.
-STATIC_PAIRS = (
-    ("Metti il dentista mercoledì alle 10", '{"intent": "create_event", "title": "dentista", "date": "mercoledì", "time": "10:00"}'),
-    ("Domani alle 9 colloquio con Ada Neri e Ivo Bassi", '{"intent": "create_event", "title": "colloquio", "contact": ["Ada Neri", "Ivo Bassi"], "date": "domani", "time": "09:00"}'),
-    ("Togli la cena di sabato", '{"intent": "delete_event", "title": "cena", "date": "sabato"}'),
-    ("Annulla tutto venerdì", '{"intent": "delete_event", "date": "venerdì", "scope": "all"}'),
-    ("Che faccio domani?", '{"intent": "query_schedule", "date": "domani"}'),
-    ("Ho impegni il 3 maggio?", '{"intent": "query_schedule", "date": "3 maggio"}'),
-    ("Ricordami il latte stasera", '{"intent": "add_reminder", "note": "latte", "date": "stasera"}'),
-    ("Promemoria bolletta lunedì", '{"intent": "add_reminder", "note": "bolletta", "date": "lunedì"}'),
-    ("Salva Lia Fonti, cliente", '{"intent": "add_contact", "name": "Lia Fonti", "role": "cliente"}'),
-    ("Aggiungi Ugo Leoni 333-1234567", '{"intent": "add_contact", "name": "Ugo Leoni", "phone": "333-1234567"}'),
-    ("Quanto è alto il Cervino?", '{"intent": "unknown"}'),
-    ("Cantami qualcosa", '{"intent": "unknown"}'),
-)
+#: The smallest set: for each intent the beginnings and the ends of its prompts, each end with its slots; every beginning goes with every end.
+STATIC = {
+    "create_event": (("Metti", "Segna", "Aggiungi", "Inserisci", "Fissami"), (
+        ("il dentista mercoledì alle 10", {"title": "dentista", "date": "mercoledì", "time": "10:00"}), ("un colloquio con Ada Neri e Ivo Bassi domani", {"title": "colloquio", "contact": ["Ada Neri", "Ivo Bassi"], "date": "domani"}),
+        ("la cena di classe sabato", {"title": "cena di classe", "date": "sabato"}), ("il tagliando dell'auto il 4 maggio", {"title": "tagliando dell'auto", "date": "4 maggio"}), ("una lezione alle 18", {"title": "lezione", "time": "18:00"}))),
+    "delete_event": (("Togli", "Annulla", "Cancella", "Elimina", "Leva"), (
+        ("la cena di sabato", {"title": "cena", "date": "sabato"}), ("tutto venerdì", {"date": "venerdì", "scope": "all"}), ("il corso di nuoto", {"title": "corso di nuoto"}),
+        ("la visita con Elsa Monti", {"title": "visita", "contact": "Elsa Monti"}), ("l'impegno delle 9", {"time": "09:00"}))),
+    "query_schedule": (("Che faccio", "Ho impegni", "Cosa c'è in agenda", "Sono occupato"), (
+        ("domani?", {"date": "domani"}), ("il 3 maggio?", {"date": "3 maggio"}), ("alle 15?", {"time": "15:00"}), ("questa sera?", {"date": "stasera"}), ("con Pia Gatti?", {"contact": "Pia Gatti"}))),
+    "add_reminder": (("Ricordami", "Fammi venire in mente", "Promemoria:", "Avvisami per", "Non farmi scordare"), (
+        ("il latte stasera", {"note": "latte", "date": "stasera"}), ("la bolletta lunedì", {"note": "bolletta", "date": "lunedì"}), ("le chiavi alle 8", {"note": "chiavi", "time": "08:00"}),
+        ("il compito di Gina", {"note": "compito di Gina"}), ("l'abbonamento il 30", {"note": "abbonamento", "date": "30"}))),
+    "add_contact": (("Salva", "Aggiungi", "Registra", "Memorizza", "Metti in rubrica"), (
+        ("Lia Fonti, cliente", {"name": "Lia Fonti", "role": "cliente"}), ("Ugo Leoni 333-1234567", {"name": "Ugo Leoni", "phone": "333-1234567"}), ("Nora Costa, posta nora@posta.example", {"name": "Nora Costa", "email": "nora@posta.example"}),
+        ("Dario Sala idraulico 340-7654321", {"name": "Dario Sala", "role": "idraulico", "phone": "340-7654321"}), ("Carla Riva", {"name": "Carla Riva"}))),
+    "unknown": (("Quanto è alto", "Chi ha scalato per primo", "Raccontami", "Descrivi"), (
+        ("il Cervino?", {}), ("il Monviso?", {}), ("il Gran Sasso?", {}), ("l'Etna?", {}), ("il Pelmo?", {}))),
+}
 
 
 def static_requests(spark: SparkSession) -> DataFrame:
-    """prompt, completion of the hand-written pairs."""
-    return spark.createDataFrame(list(STATIC_PAIRS), "prompt string, completion string")
+    """prompt, completion of the smallest set."""
+    pairs = [(f"{begin} {end}", json.dumps({"intent": intent} | slots, ensure_ascii=False)) for intent, (begins, ends) in STATIC.items() for begin in begins for end, slots in ends]
+    return spark.createDataFrame(pairs, "prompt string, completion string")

@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from setaccio.operators.budget import prefix_sums
+
 #: Distinct characters a vocabulary may have to be sent along as a map; Unicode has about 150 000 assigned ones.
 MOST_CHARS = 200_000
 
@@ -95,6 +97,42 @@ def probe_starts(df: DataFrame, id_col: str, n_col: str, length: int, n_probes:
     return rows.select("id", "probe", F.pmod(F.xxhash64("id", "probe", F.lit(seed)), F.col("span")).alias("start"))
 
 
+def probe_perplexity(df: DataFrame, id_col: str, losses_col: str, length: int, n_probes: int = 50, seed: int = 42) -> DataFrame:
+    """id, n_probes, ppl: e to the mean, over a stream's probe windows, of the mean loss of the `length` tokens after each window's first; null if it is too short for one.
+
+    losses_col: the loss of each token of a stream, an array.
+    """
+    streams = df.select(F.col(id_col).alias("id"), F.col(losses_col).alias("losses")).withColumn("n", F.size("losses"))
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
+    start = lambda k: F.pmod(F.xxhash64("id", k, F.lit(seed)), F.greatest(F.col("n") - length - 1, F.lit(1))).cast("int")
+    windows = F.transform(F.sequence(F.lit(0), F.lit(n_probes - 1)), lambda k: mean(F.slice("losses", start(k) + 2, length)))
+    long = F.col("n") - length - 1 > 0
+    return streams.select("id", F.when(long, F.lit(n_probes)).otherwise(0).alias("n_probes"), F.when(long, F.exp(mean(windows))).alias("ppl"))
+
+
+#: Windows of one random batch.
+MOST_DRAWS = 10_000
+
+
+def random_batch(df: DataFrame, id_col: str, ids_col: str, length: int, n: int, seed: int = 42) -> DataFrame:
+    """draw, id, start, x, y: n windows and the same moved on by one, drawn with replacement from all windows of all streams, each as likely.
+
+    Draws are seeded hashes, so they can be repeated. An error if no stream is long enough or n is over MOST_DRAWS. Rows without an id are left out.
+    """
+    if n > MOST_DRAWS:
+        raise ValueError(f"more than {MOST_DRAWS} draws")
+    streams = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(ids_col).alias("t")).withColumn("n", F.greatest(F.size("t") - length - 1, F.lit(0)).cast("long"))
+    placed = prefix_sums(streams.select("id", "n"), "id", "n").select("id", "before", "n")
+    total = placed.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        raise ValueError(f"no stream has {length + 2} tokens")
+    drawn = df.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("place"))
+    # n rows at most, so they can go to every task
+    hits = placed.where("n > 0").join(F.broadcast(drawn), (F.col("before") <= F.col("place")) & (F.col("place") < F.col("before") + F.col("n")))
+    rows = streams.select("id", "t").join(hits.select("id", "draw", (F.col("place") - F.col("before")).cast("int").alias("start")), "id")
+    return rows.select("draw", "id", "start", F.slice("t", F.col("start") + 1, length).alias("x"), F.slice("t", F.col("start") + 2, length).alias("y"))
+
+
 def pair_counts(df: DataFrame, ids_col: str) -> DataFrame:
     """left, right, n: how often each pair of tokens is adjacent, the count behind a byte-pair merge."""
     pairs = F.transform(F.sequence(F.lit(1), F.size(ids_col) - 1), lambda i: F.struct(F.element_at(ids_col, i).alias("left"), F.element_at(ids_col, i + 1).alias("right")))

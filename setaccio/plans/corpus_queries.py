@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from setaccio.functions import text as T
@@ -10,7 +12,7 @@ from setaccio.plans import curation
 from setaccio.plans.sql import PARAS, WORDS
 from setaccio.plans.tables import cut, new_path, table
 from setaccio.plans.text_queries import BLANK_LINE, FEATURES, HEURISTIC, _dedup_sql, intent
-from setaccio.sources import corpus, sinks
+from setaccio.sources import corpus, files, sinks
 
 QUERIES, SQL = {}, {}
 #: The piece model that the token queries use; a parameter of the operator.
@@ -83,19 +85,20 @@ def char_vocab(spark, sf):
     return tokens.char_vocabulary(table(spark, sf, "documents"), "text")
 
 
-def _char_ids(spark, sf, known="wiki_probe"):
+def _char_ids(spark, sf, known="documents"):
     vocabulary = tokens.vocabulary_map(tokens.char_vocabulary(table(spark, sf, known), "text"))
     return table(spark, sf, "documents").select("doc_id", tokens.encode_chars(F.col("text"), vocabulary).alias("ids"))
 
 
-_IDS = f"""{_VOCAB.format('wiki_probe')}, c AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS p FROM documents WHERE text <> ''),
+_IDS = f"""{_VOCAB.format('documents')}, c AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS p FROM documents WHERE text <> ''),
 i AS (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS pos FROM c JOIN v USING (c))"""
 
 
-@query(f"WITH {_IDS} SELECT d.doc_id, count(id) AS n_ids, CAST(coalesce(sum(id * (pos % 97 + 1)), 0) AS BIGINT) AS checksum FROM documents d LEFT JOIN i ON i.doc_id = d.doc_id GROUP BY d.doc_id")
+# characters that wiki_probe doesn't have are left out here
+@query(f"WITH {_IDS.replace(_VOCAB.format('documents'), _VOCAB.format('wiki_probe'))} SELECT d.doc_id, count(id) AS n_ids, CAST(coalesce(sum(id * (pos % 97 + 1)), 0) AS BIGINT) AS checksum FROM documents d LEFT JOIN i ON i.doc_id = d.doc_id GROUP BY d.doc_id")
 def char_encode(spark, sf):
     weighed = F.transform("ids", lambda x, k: x.cast("long") * (k % 97 + 1))
-    return _char_ids(spark, sf).select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.aggregate(weighed, F.lit(0).cast("long"), lambda a, x: a + x).alias("checksum"))
+    return _char_ids(spark, sf, "wiki_probe").select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.aggregate(weighed, F.lit(0).cast("long"), lambda a, x: a + x).alias("checksum"))
 
 
 @query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
@@ -139,6 +142,23 @@ def probe_windows(spark, sf):
     return tokens.probe_starts(table(spark, sf, "documents").where("n_chars is not null"), "doc_id", "n_chars", 64, 50)
 
 
+@query()
+def probe_ppl(spark, sf):
+    """Each document's characters, their losses by the counts of all documents, and the perplexity over 20 windows of 64."""
+    chars = table(spark, sf, "documents").where("text is not null").select("doc_id", F.filter(F.split("text", ""), lambda x: x != "").alias("c"))
+    counts = {r.c: r.n for r in chars.select(F.explode("c").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).limit(tokens.MOST_CHARS).collect()}  # a row a character of Unicode
+    total = sum(counts.values())
+    loss = F.create_map(*(F.lit(x) for c in sorted(counts) for x in (c, -math.log(counts[c] / total))))
+    losses = chars.select("doc_id", F.transform("c", lambda x: F.element_at(loss, x)).alias("losses"))
+    return tokens.probe_perplexity(losses, "doc_id", "losses", 64, 20)
+
+
+@query()
+def random_batch(spark, sf):
+    ids = cut(_char_ids(spark, sf))
+    return tokens.random_batch(ids, "doc_id", "ids", 64, 500).select("draw", "id", "start", F.size("x").alias("n_x"), F.size("y").alias("n_y"))
+
+
 @query()
 def spm_encode(spark, sf):
     ids = tokens.tokenizer("sentencepiece", PIECES).encode(table(spark, sf, "wiki_it"), "row_id", "text")
@@ -262,6 +282,14 @@ def slot_values(spark, sf):
     return sft.slots(rows, "pair_id", "completion")
 
 
+@query("""WITH j AS (SELECT pair_id, completion::JSON AS j FROM sft_calendar_v2 WHERE json_valid(completion) AND json_type(completion) = 'OBJECT'), k AS (SELECT pair_id, unnest(json_keys(j)) AS slot, j FROM j),
+v AS (SELECT pair_id, slot, json_extract(j, '$.' || slot) AS v FROM k), l AS (SELECT pair_id, string_agg('"' || slot || '":' || CAST(v AS VARCHAR), ',' ORDER BY slot) FILTER (WHERE json_type(v) <> 'NULL') AS slots FROM v GROUP BY 1)
+SELECT pair_id, '{' || coalesce(slots, '') || '}' AS slots FROM j LEFT JOIN l USING (pair_id)""")
+def slot_objects(spark, sf):
+    rows = table(spark, sf, "sft_calendar_v2").where(F.schema_of_variant(F.try_parse_json("completion")).startswith("OBJECT"))
+    return rows.select("pair_id", sft.encode_slots(F.col("completion")).alias("slots"))
+
+
 def _encoded(spark, sf, most=128):
     rows = table(spark, sf, "sft_calendar_v2").where("prompt is not null and completion is not null")
     both = rows.select(F.concat("prompt", F.lit("\n"), "completion").alias("text"))
@@ -274,16 +302,18 @@ _CUT = """p AS (SELECT pair_id, length(prompt) + 1 AS np, length(completion) + 1
 t AS (SELECT pair_id, np, least(nc, 128 - np) AS nc FROM p WHERE np + nc <= 128 OR 128 - np >= 4)"""
 
 
-@query(f"WITH {_CUT} SELECT pair_id, np + nc AS n_inputs, np + nc AS n_targets, nc AS n_learnt FROM t")
+@query(f"WITH {_CUT} SELECT pair_id, np + nc AS n_inputs, np + nc AS n_targets, nc AS n_learnt, np AS first_learnt, np + nc - 1 AS last_learnt FROM t")
 def sft_mask_lengths(spark, sf):
     rows = _encoded(spark, sf)
-    return rows.select("pair_id", F.size("input_ids").cast("long").alias("n_inputs"), F.size("targets").cast("long").alias("n_targets"), F.size(F.filter("targets", lambda x: x != sft.MASKED)).cast("long").alias("n_learnt"))
+    learnt = F.filter(F.transform("targets", lambda x, k: F.when(x != sft.MASKED, (k + 1).cast("long"))), lambda k: k.isNotNull())
+    return rows.select("pair_id", F.size("input_ids").cast("long").alias("n_inputs"), F.size("targets").cast("long").alias("n_targets"), F.size(learnt).cast("long").alias("n_learnt"), F.array_min(learnt).alias("first_learnt"), F.array_max(learnt).alias("last_learnt"))
 
 
-@query(f"WITH {_CUT}, o AS (SELECT pair_id, np + nc AS n, (row_number() OVER (ORDER BY pair_id) - 1) // 16 AS batch FROM t) SELECT pair_id, batch, max(n) OVER (PARTITION BY batch) AS n_inputs, max(n) OVER (PARTITION BY batch) AS n_targets FROM o")
+@query(f"WITH {_CUT}, o AS (SELECT pair_id, nc, np + nc AS n, (row_number() OVER (ORDER BY pair_id) - 1) // 16 AS batch FROM t) SELECT pair_id, batch, max(n) OVER (PARTITION BY batch) AS n_inputs, max(n) OVER (PARTITION BY batch) AS n_targets, max(n) OVER (PARTITION BY batch) - nc AS n_masked FROM o")
 def sft_batches_padded(spark, sf):
     rows = sft.batches(_encoded(spark, sf), "pair_id", 16)
-    return rows.select("pair_id", "batch", F.size("input_ids").cast("long").alias("n_inputs"), F.size("targets").cast("long").alias("n_targets"))
+    masked = F.size(F.filter("targets", lambda x: x == sft.MASKED)).cast("long")
+    return rows.select("pair_id", "batch", F.size("input_ids").cast("long").alias("n_inputs"), F.size("targets").cast("long").alias("n_targets"), masked.alias("n_masked"))
 
 
 @query()
@@ -454,6 +484,43 @@ def csv_chunks_roundtrip(spark, sf):
     return rows.groupBy("start_token", "n_tokens", F.round("loss", 6).alias("loss")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT count(*) AS n, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars, 0 AS n_errors FROM wiki_probe WHERE text IS NOT NULL")
+def file_scan(spark, sf):
+    """Texts written as files of text, each found again under the folder and read as a whole."""
+    path = new_path(spark)
+    rows = table(spark, sf, "wiki_probe").where("text is not null").select(F.col("probe_id").alias("k"), "text")
+    rows.repartition("k").write.partitionBy("k").text(path)
+    found = files.read_files(spark, path, only=".TXT")
+    return found.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"), F.count("error").cast("int").alias("n_errors"))
+
+
+@query(f"WITH {_SIZES.format(2)}, t AS (SELECT CAST(floor(before / 100000) AS INTEGER) AS shard, text FROM b JOIN documents ON doc_id = id), p AS (SELECT shard, unnest({PARAS('text', BLANK_LINE)}) AS text FROM t) SELECT shard, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM p GROUP BY shard")
+def shard_files(spark, sf):
+    path = new_path(spark)
+    docs = table(spark, sf, "documents")
+    placed = budget.prefix_sums(budget.sizes(docs, "doc_id", "text", "\n\n"), "id", "bytes").select("id", F.floor(F.col("before") / 100_000).cast("int").alias("shard"))
+    sinks.write_shards(docs.join(placed, F.col("doc_id") == F.col("id")), path)
+    blocks = spark.read.schema("value string, shard int").option("lineSep", "\n\n").text(path).select("shard", T.strip(F.col("value")).alias("text")).where("text != ''")
+    return blocks.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query("SELECT doc_id, length(text) AS n_ids FROM documents WHERE text IS NOT NULL")
+def token_cache(spark, sf):
+    """Ids of characters made once for a source and its vocabulary; the second call reads what the first has written."""
+    folder, source = new_path(spark), table(spark, sf, "documents").where("text is not null")
+    for _ in range(2):
+        ids = sinks.cached_tokens(spark, folder, source, "chars", lambda: _char_ids(spark, sf))
+    return ids.join(source.select("doc_id"), "doc_id").select("doc_id", F.size("ids").alias("n_ids"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY lang, word) - 1 AS INTEGER) AS id, word || '_' || lang AS piece, -CAST(length(word) AS DOUBLE) AS score FROM common_words")
+def vocabulary_lines(spark, sf):
+    path = new_path(spark)
+    rows = table(spark, sf, "common_words").orderBy("lang", "word").select(F.concat_ws("\t", F.concat_ws("_", "word", "lang"), (-F.length("word")).cast("string")).alias("value"))
+    rows.coalesce(1).write.text(path)
+    return corpus.vocabulary_file(spark, path).select(F.col("id").cast("int").alias("id"), "piece", "score")
+
+
 @query("SELECT source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM (SELECT 0 AS source, trim(text, ' ') AS text FROM wiki_probe WHERE length(text) >= 50 UNION ALL SELECT 1, props FROM events WHERE event_type = 'view') GROUP BY source")
 def union_sources(spark, sf):
     configs = [

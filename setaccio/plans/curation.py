@@ -40,7 +40,7 @@ def curate(df: DataFrame, id_col: str, text_col: str, lang: tuple[str, str] | No
     out = unique
     if ppl:
         scores = clean.select(id_col, ppl[0])
-        out = filters.perplexity_cut(unique.join(scores, id_col), ppl[0], limit).select(id_col, text_col)
+        out = cut(filters.perplexity_cut(unique.join(scores, id_col), ppl[0], limit).select(id_col, text_col))  # for the result and its count
     before = marked.agg(F.count(F.lit(1)).alias("n_in"), F.count_if(F.col("reason") == "heuristic").alias("heuristic"), F.count_if(F.col("reason") == "lang").alias("lang"), F.count_if(F.col("reason").isNull()).alias("clean"))
     counts = before.withColumns({"unique": unique.agg(F.count(F.lit(1))).scalar(), "n_out": out.agg(F.count(F.lit(1))).scalar()})
     funnel = counts.select("n_in", "heuristic", "lang", (F.col("clean") - F.col("unique")).alias("dedup"), (F.col("unique") - F.col("n_out")).alias("ppl"), "n_out")

@@ -133,7 +133,7 @@ def strip_html_regex(spark, sf):
 
 @query()
 def html_to_text(spark, sf):
-    return _docs(spark, sf).where(F.col("text").rlike("<[a-z]+[^>]*>")).select("doc_id", udf.html_to_text("text").alias("text"))
+    return _docs(spark, sf).select("doc_id", udf.html_to_text("text").alias("text"))
 
 
 @query(f"SELECT doc_id, len(w) AS n_words, w[1] AS first_word, w[-1] AS last_word FROM (SELECT doc_id, {WORDS('text')} AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) > 0")
@@ -160,7 +160,11 @@ def non_ascii_inventory(spark, sf):
     return every.select(F.size("all").cast("long").alias("n_chars"), F.array_join(F.slice("all", 1, 50), "").alias("sample"))
 
 
-@query()
+@query("""WITH c AS (SELECT pair_id, completion, unnest(string_split(completion, '')) AS c, generate_subscripts(string_split(completion, ''), 1) AS p FROM sft_calendar_v2 WHERE completion <> ''),
+b AS (SELECT *, sum(CASE c WHEN '{' THEN 1 ELSE -1 END) OVER (PARTITION BY pair_id ORDER BY p) AS balance FROM c WHERE c IN ('{', '}')),
+o AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY p) AS k FROM b WHERE c = '{' AND balance = 1), e AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY p) AS k FROM b WHERE c = '}' AND balance = 0),
+f AS (SELECT o.pair_id, o.p, substring(o.completion, o.p, e.p - o.p + 1) AS part FROM o JOIN e ON e.pair_id = o.pair_id AND e.k = o.k)
+SELECT s.pair_id, (SELECT arg_min(part, p) FROM f WHERE f.pair_id = s.pair_id AND json_valid(part)) AS json FROM sft_calendar_v2 s""")
 def first_json(spark, sf):
     return table(spark, sf, "sft_calendar_v2").select("pair_id", udf.first_json("completion").alias("json"))
 
@@ -255,3 +259,11 @@ def prefix_quota_sample(spark, sf):
 def intent(completion):
     """The intent of a completion that is JSON."""
     return F.when(F.try_parse_json(completion).isNotNull(), F.get_json_object(completion, "$.intent"))
+
+@query(rf"SELECT row_id, {STRIP(r"regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g')")} AS text FROM wiki_it WHERE NOT regexp_matches(text, '[<>{{}}\[\]&|#*:;_]') AND NOT contains(text, chr(39) || chr(39))")
+def wiki_plain(spark, sf):
+    """Texts without signs of markup of their own, put into wikitext and taken out of it again."""
+    before = "{{Box|a={{b|c}}\n|d=[[e]]}}<!-- no -->''"
+    after = "''<ref name=\"x\">{{cite|y}}</ref>\n{| class=z\n| [[a]] || b\n|}\n[[File:c.jpg|thumb|of [[d]]]]\n[[Categoria:E]]"
+    rows = table(spark, sf, "wiki_it").where(~F.col("text").rlike(r"[<>{}\[\]&|#*:;_]") & ~F.contains("text", F.lit("''")))
+    return rows.select("row_id", udf.wikitext(F.concat(F.lit(before), "text", F.lit(after))).alias("text"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from setaccio.functions import text as T
+from setaccio.functions.udf import wikitext
 
 
 def text_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -30,11 +31,11 @@ def explode_articles(df: DataFrame, text_col: str, min_chars: int = 500) -> Data
     return rows.where(F.length("text") >= min_chars)
 
 
-def wiki_dump(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, title, text (wikitext) of each page of an XML dump that isn't a redirect; pages are split across tasks."""
+def wiki_dump(spark: SparkSession, path: str, plain: bool = True) -> DataFrame:
+    """page_id, title, text (plain, or wikitext as it is) of each page of an XML dump that isn't a redirect; pages are split across tasks."""
     schema = "id bigint, title string, ns int, redirect string, revision struct<text:string>"
     pages = spark.read.schema(schema).option("rowTag", "page").format("xml").load(path)
-    return pages.where("redirect is null and coalesce(ns, 0) = 0").select(F.col("id").alias("page_id"), "title", F.col("revision.text").alias("text"))
+    return pages.where("redirect is null and coalesce(ns, 0) = 0").select(F.col("id").alias("page_id"), "title", (wikitext("revision.text") if plain else F.col("revision.text")).alias("text"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str = "prompt string, completion string") -> DataFrame:
@@ -56,9 +57,19 @@ def field(df: DataFrame, path: str, min_chars: int = 0) -> DataFrame:
     return df.select(T.strip(value.cast("string")).alias("text")).where((F.col("text") != "") & (F.length("text") >= min_chars))
 
 
-def jdbc_query(spark: SparkSession, url: str, query: str, column: str | None = None, **options: str) -> DataFrame:
-    """text of a column of a query run by a database (its only column if none is named); markup is stripped where a text begins with it."""
-    rows = spark.read.format("jdbc").options(url=url, query=query, **options).load()
+def jdbc_query(spark: SparkSession, url: str, query: str, column: str | None = None, split: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
+    """text of a column of a query run by a database (its only column if none is named); markup is stripped where a text begins with it.
+
+    split: a numeric column, its lowest and highest value and the number of connections that read the ranges between them; without it one connection reads
+    everything, `fetchsize` rows at a time.
+    """
+    options = {"fetchsize": "10000"} | options
+    if split:
+        column_, low, high, n = split
+        options |= {"dbtable": f"({query}) q", "partitionColumn": column_, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(n)}
+    else:
+        options |= {"query": query}
+    rows = spark.read.format("jdbc").options(url=url, **options).load()
     if column is None and len(rows.columns) != 1:
         raise ValueError(f"the query has the columns {rows.columns}: name one")
     return rows.select(T.clean_basic(T.strip_markup(F.col(column or rows.columns[0]).cast("string"))).alias("text"))

@@ -38,12 +38,10 @@ def merge_new(spark: SparkSession, stream: DataFrame, id_col: str, text_col: str
 
     def batch(df: DataFrame, number: int) -> None:
         new = df.where(F.col(text_col).isNotNull()).groupBy(F.md5(text_col).alias("digest")).agg(F.min(F.struct(id_col, text_col)).alias("r")).select("digest", "r.*")
-        try:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(seen_path)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
             seen = spark.read.parquet(seen_path).where(F.col("batch") != number)  # a batch run again writes its part again
-            new = new.join(seen.select("digest"), "digest", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+            new = new.join(seen.select("digest"), "digest", "left_anti")  # only the digests are read
         new.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(seen_path)
 
     return stream.writeStream.foreachBatch(batch)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import math
 import zipfile
 
@@ -231,6 +232,64 @@ def test_articles_and_vocabulary(spark, tmp_path):
     assert [tuple(r) for r in corpus.vocabulary_file(spark, str(tmp_path / "v.tsv")).orderBy("id").collect()] == [(0, "<pad>", 0.0), (1, '"', -1.5), (2, "à", -2.0)]
 
 
+def test_slots_by_type(spark):
+    df = spark.createDataFrame([(1, '{"note": "[urgente] chiamare Ada", "n": 3, "who": ["A", null, "B"], "no": null, "deep": {"x": [1]}}'), (2, "{}"), (3, "bad"), (4, None)], "id long, c string")
+    got = sorted((r.id, r.slot, r.value) for r in sft.slots(df, "id", "c").collect())
+    assert got == [(1, "deep", '{"x":[1]}'), (1, "n", "3"), (1, "note", "[urgente] chiamare Ada"), (1, "who", "A"), (1, "who", "B")]
+    encoded = {r.id: r.e for r in df.select("id", sft.encode_slots(F.col("c")).alias("e")).collect()}
+    assert json.loads(encoded[1]) == {"deep": {"x": [1]}, "n": 3, "note": "[urgente] chiamare Ada", "who": ["A", None, "B"]} and list(json.loads(encoded[1])) == sorted(json.loads(encoded[1]))
+    assert encoded[2] == "{}" and encoded[4] is None
+
+
+def test_probe_perplexity(spark):
+    losses = [float(k % 7) for k in range(40)]
+    df = spark.createDataFrame([(1, losses), (2, losses[:9]), (3, []), (4, [2.0] * 30)], "id long, l array<double>")
+    got = {r.id: (r.n_probes, r.ppl) for r in tokens.probe_perplexity(df, "id", "l", 8, 5).collect()}
+    assert got[2] == got[3] == (0, None) and got[4] == (5, pytest.approx(math.exp(2)))
+    starts = df.where("id = 1").select(*(F.pmod(F.xxhash64("id", F.lit(k), F.lit(42)), F.lit(31)).alias(f"s{k}") for k in range(5))).first()
+    assert got[1][1] == pytest.approx(math.exp(sum(sum(losses[s + 1 : s + 9]) / 8 for s in starts) / 5))
+
+
+def test_random_batch(spark):
+    df = spark.createDataFrame([(1, list(range(100))), (2, list(range(500, 504))), (3, []), (4, None), (None, [1] * 50)], "id long, t array<int>")
+    rows = tokens.random_batch(df, "id", "t", 4, 60).collect()
+    assert len(rows) == 60 and {r.id for r in rows} == {1} and len({r.start for r in rows}) > 20
+    assert all(r.x == list(range(r.start, r.start + 4)) and r.y == [v + 1 for v in r.x] and r.start < 95 for r in rows)
+    for wrong in ({"n": 10**6, "length": 4}, {"n": 3, "length": 400}):
+        with pytest.raises(ValueError):
+            tokens.random_batch(df, "id", "t", **wrong)
+
+
+def test_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(budget, "ROWS", 5)
+    df = spark.range(3000).select(((F.col("id") * 7919) % 100_003).alias("id"), F.lit(1).alias("v"))
+    rows = df.withColumn("r", budget.range_of(df, "id")).orderBy("id").collect()
+    assert [r.r for r in rows] == sorted(r.r for r in rows) and len({r.r for r in rows}) > 300
+    assert [r.before for r in budget.prefix_sums(df, "id", "v").orderBy("id").collect()] == list(range(3000))
+
+
+def test_running_best_of_groups(spark):
+    rows = [(g, k, float((k * 7 + 3) % 11) if k % 5 else None) for g in ("a", None) for k in range(60)]
+    df = spark.createDataFrame(rows, "g string, k int, v double")
+    got = {(r.g, r.k): r.best_before for r in evaluation.running_best(df, "g", "k", "v").collect()}
+    for g, k, _ in rows:
+        assert got[g, k] == min((v for h, j, v in rows if h == g and j < k and v is not None), default=None)
+
+
+def test_dry_run(spark):
+    assert sinks.dry_run(spark.range(7).where("id > 2")) == 4 and sinks.dry_run(spark.range(0)) == 0
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    from setaccio.plans import tables
+
+    class Cluster:
+        conf, sparkContext = type("C", (), {"get": staticmethod(lambda k, d: None)}), type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="share"):
+        tables.shared_dir(Cluster)
+
+
 def test_sources_fail_alone(spark, tmp_path):
     spark.createDataFrame([("abc",), (None,), ("",)], "t string").write.parquet(str(tmp_path / "p"))
     rows, errors = corpus.union_sources(spark, [{"type": "parquet", "path": str(tmp_path / "p"), "text_field": "t"}, {"type": "parquet", "path": str(tmp_path / "none"), "text_field": "t"}, {"type": "?"}])
@@ -271,8 +330,9 @@ def test_curated_stream(spark, tmp_path):
 
 
 def test_dump(spark, tmp_path):
-    (tmp_path / "d.xml").write_text("<mediawiki><page><title>A</title><ns>0</ns><id>1</id><revision><id>9</id><text>uno</text></revision></page><page><title>B</title><ns>0</ns><id>2</id><redirect title='A'>x</redirect><revision><text>due</text></revision></page></mediawiki>")
-    assert [tuple(r) for r in corpus.wiki_dump(spark, str(tmp_path / "d.xml")).collect()] == [(1, "A", "uno")]
+    (tmp_path / "d.xml").write_text("<mediawiki><page><title>A</title><ns>0</ns><id>1</id><revision><id>9</id><text>'''uno''' {{no}}[x]</text></revision></page><page><title>B</title><ns>0</ns><id>2</id><redirect title='A'>x</redirect><revision><text>due</text></revision></page></mediawiki>")
+    assert [tuple(r) for r in corpus.wiki_dump(spark, str(tmp_path / "d.xml")).collect()] == [(1, "A", "uno [x]")]
+    assert [r.text for r in corpus.wiki_dump(spark, str(tmp_path / "d.xml"), plain=False).collect()] == ["'''uno''' {{no}}[x]"]
 
 
 def test_any_scorer(spark):
